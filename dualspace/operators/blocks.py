@@ -56,8 +56,11 @@ def pair_grid(left: DataFrame, left_id: str, right: DataFrame, right_id: str,
 
 def self_grid(df: DataFrame, id_col: str, block: int = DEFAULT_BLOCK,
               key: str = "pool_id") -> tuple[DataFrame, DataFrame]:
-    """Grid of a pool against itself (i side and j side)."""
-    return pair_grid(df, id_col, df, id_col, block, block, key)
+    """Grid of a pool against itself (i side and j side).
+
+    The right side is a fresh projection so the self-join has distinct lineage."""
+    twin = df.select(*[F.col(c).alias(c) for c in df.columns])
+    return pair_grid(df, id_col, twin, id_col, block, block, key)
 
 
 def stack_vectors(series) -> "np.ndarray":  # noqa: F821
@@ -65,3 +68,25 @@ def stack_vectors(series) -> "np.ndarray":  # noqa: F821
     if len(series) == 0:
         return np.zeros((0, 0))
     return np.vstack([np.asarray(v, dtype=np.float64) for v in series.to_numpy()])
+
+
+def hash_order_key(id_col: str, seed) -> "Column":  # noqa: F821
+    """Seeded, engine-portable shuffle key: md5('<seed>:<id>')."""
+    return F.md5(F.concat(F.lit(str(seed)), F.lit(":"), F.col(id_col).cast("string")))
+
+
+def sample_per_pool(df: DataFrame, id_col: str, n: int, seed, key: str = "pool_id",
+                    block: int = DEFAULT_BLOCK) -> DataFrame:
+    """The n rows of each pool with the smallest seeded hash (all rows if fewer).
+
+    Two-phase top-n: a local top-n per (pool, block) bounds the rows per task,
+    then an exact top-n per pool runs over at most n rows per block.
+    """
+    from pyspark.sql import Window
+    stats = pool_counts(df, "_n", key).select(key, n_blocks("_n", block).alias("_nb"))
+    h = df.join(stats, key).withColumn("_h", hash_order_key(id_col, seed)).withColumn("_blk", block_of(id_col, "_nb"))
+    local = h.withColumn("_r", F.row_number().over(Window.partitionBy(key, "_blk").orderBy("_h", id_col))).where(
+        F.col("_r") <= n)
+    glob = local.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("_h", id_col))).where(
+        F.col("_r") <= n)
+    return glob.drop("_nb", "_h", "_blk", "_r")

@@ -45,3 +45,136 @@ select pool_id, qid, chunk_idx, round(dx, 6) as dx from qx where dx <= 0.70 or r
 SQL["strict_start_set"] = FIX + """
 select pool_id, qid, chunk_idx, round(dx, 6) as dx from qx where dx <= 0.85
 """
+
+
+# -- SQL text builders for fixed-dimension vector arithmetic ------------------
+def _sum(terms: list[str]) -> str:
+    return "(" + " + ".join(terms) + ")"
+
+
+def sql_sq(a: str, b: str, n: int) -> str:
+    return _sum([f"({a}[{k}] - {b}[{k}]) * ({a}[{k}] - {b}[{k}])" for k in range(1, n + 1)])
+
+
+def sql_dot(a: str, b: str, n: int) -> str:
+    return _sum([f"{a}[{k}] * {b}[{k}]" for k in range(1, n + 1)])
+
+
+def sql_whiten(z: str, lam: str, n: int) -> str:
+    return "[" + ", ".join(f"{z}[{k}] / sqrt({lam}[{k}] + 1e-8)" for k in range(1, n + 1)) + "]"
+
+
+def z_ctes(n: int) -> str:
+    """The supplied structural space: z_k = x[k] - pool mean, lam_k = pool var_samp."""
+    ms = ", ".join(f"avg(x[{k}]) as m{k}" for k in range(1, n + 1))
+    vs = ", ".join(f"var_samp(x[{k}]) as v{k}" for k in range(1, n + 1))
+    zs = ", ".join(f"c.x[{k}] - s.m{k}" for k in range(1, n + 1))
+    ls = ", ".join(f"s.v{k}" for k in range(1, n + 1))
+    return f""",
+zstat as (select pool_id, {ms}, {vs} from chunks group by pool_id),
+z as (select c.pool_id, c.chunk_idx, [{zs}] as z, [{ls}] as lam
+      from chunks c join zstat s on c.pool_id = s.pool_id),
+psize as (select pool_id, count(*) as n from chunks group by pool_id)
+"""
+
+
+def sample_cte(name: str, src: str, n: int, seed) -> str:
+    return f""",
+{name} as (select * from (
+  select *, row_number() over (partition by pool_id
+    order by md5(concat('{seed}', ':', cast(chunk_idx as varchar))), chunk_idx) as r_
+  from {src}) where r_ <= {n})
+"""
+
+
+def pairs_cte(name: str, src: str) -> str:
+    return f""",
+{name} as (select a.pool_id, a.chunk_idx as i, b.chunk_idx as j, a.z as z_i, b.z as z_j,
+                  a.lam as lam
+           from {src} a join {src} b on a.pool_id = b.pool_id and a.chunk_idx < b.chunk_idx)
+"""
+
+
+def metric_ctes(n: int) -> str:
+    """Per-pool metric state: max_dot, rbf gamma (sample 200, seed 0)."""
+    return (z_ctes(n) + sample_cte("rsamp", "z", 200, 0) + pairs_cte("rpairs", "rsamp") + f""",
+maxdot as (select pool_id, max({sql_dot('z', 'z', n)}) as max_dot from z group by pool_id),
+rmed as (select pool_id, quantile_cont(sq, 0.5) as med from (
+  select pool_id, {sql_sq('z_i', 'z_j', n)} as sq from rpairs) where sq > 0 group by pool_id),
+rgamma as (select p.pool_id, 1.0 / greatest(coalesce(m.med, 1.0), 1e-8) as gamma
+           from psize p left join rmed m on p.pool_id = m.pool_id)
+""" + sample_cte("esamp", "z", 50, 42) + pairs_cte("epairs", "esamp"))
+
+
+def metric_expr(metric: str, n: int, zi: str = "z_i", zj: str = "z_j", lam: str = "lam") -> str:
+    if metric == "euclidean":
+        return f"sqrt({sql_sq(zi, zj, n)})"
+    if metric == "mahalanobis":
+        return f"sqrt({sql_sq(sql_whiten(zi, lam, n), sql_whiten(zj, lam, n), n)})"
+    if metric == "cosine":
+        den = f"(sqrt({sql_dot(zi, zi, n)}) * sqrt({sql_dot(zj, zj, n)}))"
+        return f"(case when {den} = 0 then 1.0 else 1.0 - {sql_dot(zi, zj, n)} / {den} end)"
+    if metric == "dot":
+        return f"(max_dot - {sql_dot(zi, zj, n)})"
+    if metric == "rbf":
+        return f"sqrt(greatest(2.0 - 2.0 * exp(-gamma * {sql_sq(zi, zj, n)}), 0.0))"
+    raise ValueError(metric)
+
+
+def metric_pairs_sql(metric: str, n: int = 4) -> str:
+    return f"""select p.pool_id, p.i, p.j, round({metric_expr(metric, n)}, 6) as d
+from epairs p join maxdot using (pool_id) join rgamma using (pool_id)"""
+
+
+for _m in ["cosine", "euclidean", "mahalanobis", "dot", "rbf"]:
+    SQL[f"dist_{_m}"] = FIX + metric_ctes(4) + metric_pairs_sql(_m)
+
+SQL["rbf_gamma"] = FIX + metric_ctes(4) + "select pool_id, round(gamma, 6) as gamma from rgamma"
+
+SQL["epsilon_by_metric"] = FIX + metric_ctes(4) + ",\nalld as (\n" + "\nunion all\n".join(
+    f"select p.pool_id, '{m}' as metric, {metric_expr(m, 4)} as d "
+    f"from epairs p join maxdot using (pool_id) join rgamma using (pool_id)"
+    for m in ["mahalanobis", "euclidean", "cosine", "dot", "rbf"]) + """)
+select ps.pool_id, mm.metric, round(coalesce(e.eps, 1.0), 6) as epsilon
+from psize ps cross join (select distinct metric from alld) mm
+left join (select pool_id, metric, quantile_cont(d, 0.1) as eps from alld group by pool_id, metric) e
+  on e.pool_id = ps.pool_id and e.metric = mm.metric
+"""
+
+# k-NN graph, local covariance and Bhattacharyya on the 2-d supplied space.
+KNN2 = FIX + z_ctes(2) + f""",
+allp as (select a.pool_id, a.chunk_idx as i, b.chunk_idx as j, {sql_sq('a.z', 'b.z', 2)} as d2
+         from z a join z b on a.pool_id = b.pool_id),
+knn as (select r.pool_id, i, j, rank, d2 from (
+          select *, row_number() over (partition by pool_id, i order by d2, j) as rank from allp) r
+        join psize s on r.pool_id = s.pool_id
+        where rank <= greatest(2, least(10, s.n - 1))),
+lcov0 as (select k.pool_id, k.i as chunk_idx,
+            covar_samp(z.z[1], z.z[1]) as a11, covar_samp(z.z[1], z.z[2]) as a12,
+            covar_samp(z.z[2], z.z[2]) as a22
+          from knn k join z on z.pool_id = k.pool_id and z.chunk_idx = k.j group by k.pool_id, k.i),
+lcov as (select l.pool_id, l.chunk_idx,
+           coalesce(a11, s.v1) + 1e-6 as c11, coalesce(a12, 0.0) as c12, coalesce(a22, s.v2) + 1e-6 as c22
+         from lcov0 l join zstat s on l.pool_id = s.pool_id),
+lcovd as (select *, ln(c11 * c22 - c12 * c12) as logdet from lcov)
+"""
+
+SQL["knn_graph"] = KNN2 + "select pool_id, i, j, rank, round(d2, 6) as d2 from knn"
+
+SQL["local_cov"] = KNN2 + """select pool_id, chunk_idx, round(c11, 6) as c11, round(c12, 6) as c12,
+  round(c22, 6) as c22, round(logdet, 6) as logdet from lcovd"""
+
+
+def bhat2_expr(zi="z_i", zj="z_j") -> str:
+    s11, s12, s22 = "((ci.c11 + cj.c11) / 2)", "((ci.c12 + cj.c12) / 2)", "((ci.c22 + cj.c22) / 2)"
+    det = f"({s11} * {s22} - {s12} * {s12})"
+    d1, d2 = f"({zi}[1] - {zj}[1])", f"({zi}[2] - {zj}[2])"
+    quad = f"(({d1} * {d1} * {s22} - 2 * {d1} * {d2} * {s12} + {d2} * {d2} * {s11}) / {det})"
+    return f"greatest(0.125 * {quad} + 0.5 * (ln({det}) - 0.5 * (ci.logdet + cj.logdet)), 0.0)"
+
+
+SQL["dist_bhattacharyya_2d"] = KNN2 + sample_cte("esamp", "z", 50, 42) + pairs_cte("epairs", "esamp") + f"""
+select p.pool_id, p.i, p.j, round({bhat2_expr()}, 6) as d
+from epairs p join lcovd ci on ci.pool_id = p.pool_id and ci.chunk_idx = p.i
+join lcovd cj on cj.pool_id = p.pool_id and cj.chunk_idx = p.j
+"""

@@ -60,7 +60,7 @@ def z_standin(chunks: DataFrame, dims: int = 4) -> tuple[DataFrame, DataFrame]:
     Pool state is a partial aggregate joined back on pool_id, so a hot pool is
     aggregated map-side instead of landing on one task.
     """
-    cols = [F.col("x")[k].alias(f"x{k}") for k in range(1, dims + 1)]
+    cols = [F.col("x")[k - 1].alias(f"x{k}") for k in range(1, dims + 1)]
     flat = chunks.select("pool_id", "chunk_idx", *cols)
     stats = flat.groupBy("pool_id").agg(
         *[F.avg(f"x{k}").alias(f"m{k}") for k in range(1, dims + 1)],
