@@ -178,3 +178,58 @@ select p.pool_id, p.i, p.j, round({bhat2_expr()}, 6) as d
 from epairs p join lcovd ci on ci.pool_id = p.pool_id and ci.chunk_idx = p.i
 join lcovd cj on cj.pool_id = p.pool_id and cj.chunk_idx = p.j
 """
+
+
+# -- decay traversal, unrolled hop by hop --------------------------------------
+def decay_sql(metric: str, tau: float, gamma: float, start: str = "anchors", hops: int = 2) -> str:
+    if metric == "bhattacharyya":
+        base = KNN2 + sample_cte("esamp", "z", 50, 42) + pairs_cte("epairs", "esamp") + f""",
+eps0 as (select p.pool_id, quantile_cont({bhat2_expr()}, 0.1) as e
+         from epairs p join lcovd ci on ci.pool_id = p.pool_id and ci.chunk_idx = p.i
+         join lcovd cj on cj.pool_id = p.pool_id and cj.chunk_idx = p.j group by p.pool_id)"""
+        hop_dist = bhat2_expr("zi.z", "zj.z")
+        extra = ("join lcovd ci on ci.pool_id = zi.pool_id and ci.chunk_idx = zi.chunk_idx "
+                 "join lcovd cj on cj.pool_id = zj.pool_id and cj.chunk_idx = zj.chunk_idx")
+    else:
+        base = FIX + metric_ctes(4) + f""",
+st as (select m.pool_id as st_pool, m.max_dot, g.gamma from maxdot m join rgamma g on m.pool_id = g.pool_id),
+eps0 as (select p.pool_id, quantile_cont({metric_expr(metric, 4)}, 0.1) as e
+         from epairs p join st on st.st_pool = p.pool_id group by p.pool_id)"""
+        hop_dist = metric_expr(metric, 4, "zi.z", "zj.z", "zi.lam")
+        extra = "join st on st.st_pool = zi.pool_id"
+    where0 = f"dx <= {tau!r} or rank_dx <= 3" if start == "anchors" else f"dx <= {tau!r}"
+    sql = base + f""",
+eps as (select ps.pool_id, coalesce(e.e, 1.0) as epsilon from psize ps left join eps0 e on e.pool_id = ps.pool_id),
+h0 as (select pool_id, qid, chunk_idx from qx where {where0})"""
+    for t in range(1, hops + 1):
+        bound = tau * (gamma ** t)
+        vis = " union all ".join(f"select qid, chunk_idx from h{u}" for u in range(t))
+        sql += f""",
+c{t} as (select x.pool_id, x.qid, x.chunk_idx from qx x where x.dx <= {bound!r}
+        and not exists (select 1 from ({vis}) v where v.qid = x.qid and v.chunk_idx = x.chunk_idx)),
+h{t} as (select distinct c.pool_id, c.qid, c.chunk_idx from c{t} c
+        join z zj on zj.pool_id = c.pool_id and zj.chunk_idx = c.chunk_idx
+        join h{t - 1} f on f.qid = c.qid
+        join z zi on zi.pool_id = f.pool_id and zi.chunk_idx = f.chunk_idx
+        {extra}
+        join eps e on e.pool_id = c.pool_id
+        where {hop_dist} <= e.epsilon)"""
+    sql += ",\nhops as (" + " union all ".join(
+        f"select pool_id, qid, {t} as hop, chunk_idx from h{t}" for t in range(hops + 1)) + ")\n"
+    return sql
+
+
+SQL["decay_hops"] = decay_sql("mahalanobis", 0.85, 1.1) + "select * from hops"
+SQL["decay_hops_alt"] = decay_sql("euclidean", 0.70, 1.3) + "select * from hops"
+SQL["decay_hops_cosine"] = decay_sql("cosine", 0.85, 1.1) + "select * from hops"
+SQL["decay_hops_dot"] = decay_sql("dot", 0.85, 1.1) + "select * from hops"
+SQL["decay_hops_rbf"] = decay_sql("rbf", 0.85, 1.1) + "select * from hops"
+SQL["decay_hops_bhattacharyya_2d"] = decay_sql("bhattacharyya", 0.85, 1.1) + "select * from hops"
+SQL["decay_strict"] = decay_sql("euclidean", 0.85, 1.1, start="strict") + "select * from hops"
+SQL["decay_capped"] = decay_sql("mahalanobis", 0.85, 1.1) + """
+select pool_id, qid, role, rank, chunk_idx from (
+  select *, row_number() over (partition by qid, role order by chunk_idx) as rank from (
+    select distinct pool_id, qid, case when hop = 0 then 'primary' else 'structural' end as role, chunk_idx
+    from hops))
+where rank <= case when role = 'primary' then 5 else 10 end
+"""
