@@ -233,3 +233,59 @@ select pool_id, qid, role, rank, chunk_idx from (
     from hops))
 where rank <= case when role = 'primary' then 5 else 10 end
 """
+
+
+# -- random walk with restart: a recursive CTE, ten steps ----------------------
+def walk_sql(metric: str, tau: float, start: str, alpha: float = 0.85, beta: float = 1.0, iters: int = 10) -> str:
+    where0 = f"dx <= {tau!r} or rank_dx <= 3" if start == "anchors" else f"dx <= {tau!r}"
+    dist = metric_expr(metric, 4, "zi.z", "zj.z", "zi.lam")
+    base = FIX.replace("with chunks", "with recursive chunks", 1) + metric_ctes(4) + f""",
+st as (select m.pool_id as st_pool, m.max_dot, g.gamma from maxdot m join rgamma g on m.pool_id = g.pool_id),
+kern as (select zi.pool_id, zi.chunk_idx as i, zj.chunk_idx as j, exp(-{beta!r} * {dist}) as k
+         from z zi join z zj on zi.pool_id = zj.pool_id join st on st.st_pool = zi.pool_id),
+rs as (select pool_id, i, sum(k) as r from kern group by pool_id, i),
+pm as (select kern.pool_id, kern.i, kern.j, case when r = 0 then 0.0 else k / r end as p
+       from kern join rs on rs.pool_id = kern.pool_id and rs.i = kern.i),
+seeds as (select pool_id, qid, chunk_idx from qx where {where0}),
+ns as (select qid, count(*) as c from seeds group by qid),
+vvec as (select s.pool_id, s.qid, s.chunk_idx, 1.0 / ns.c as v from seeds s join ns on ns.qid = s.qid
+         union all
+         select q.pool_id, q.qid, c.chunk_idx, 1.0 / ps.n as v from queries q
+         join psize ps on ps.pool_id = q.pool_id join chunks c on c.pool_id = q.pool_id
+         where q.qid not in (select qid from ns)),
+pi(it, pool_id, qid, chunk_idx, mass) as (
+  select 0, pool_id, qid, chunk_idx, v from vvec
+  union all
+  select y.it + 1, y.pool_id, y.qid, y.j, {1.0 - alpha!r} * coalesce(vv.v, 0.0) + {alpha!r} * y.y
+  from (select pi.it, pi.pool_id, pi.qid, pm.j, sum(pi.mass * pm.p) as y
+        from pi join pm on pm.pool_id = pi.pool_id and pm.i = pi.chunk_idx
+        where pi.it < {iters} group by pi.it, pi.pool_id, pi.qid, pm.j) y
+  left join vvec vv on vv.qid = y.qid and vv.chunk_idx = y.j),
+final as (select pool_id, qid, chunk_idx, mass from pi where it = {iters})
+"""
+    return base
+
+
+SQL["ppr_mass"] = walk_sql("mahalanobis", 0.85, "anchors") + \
+    "select pool_id, qid, chunk_idx, round(mass, 6) as mass from final"
+SQL["walk_strict"] = walk_sql("euclidean", 0.70, "strict") + \
+    "select pool_id, qid, chunk_idx, round(mass, 6) as mass from final"
+SQL["ppr_topk"] = walk_sql("mahalanobis", 0.85, "anchors") + """,
+top as (select * from (select *, row_number() over (partition by qid order by mass desc, chunk_idx) as rk
+        from final) where rk <= 5),
+tagged as (select t.*, s.chunk_idx is not null as is_seed from top t
+           left join seeds s on s.qid = t.qid and s.chunk_idx = t.chunk_idx),
+anyseed as (select qid, max(case when is_seed then 1 else 0 end) as a from tagged group by qid)
+select pool_id, qid, 'primary' as role,
+       row_number() over (partition by qid order by mass desc, chunk_idx) as rank, chunk_idx
+from tagged where is_seed
+union all
+select pool_id, qid, 'structural' as role,
+       row_number() over (partition by qid order by mass desc, chunk_idx) as rank, chunk_idx
+from tagged where not is_seed
+union all
+select pool_id, qid, role, rank, chunk_idx from (
+  select s.pool_id, s.qid, 'primary' as role,
+         row_number() over (partition by s.qid order by s.chunk_idx) as rank, s.chunk_idx
+  from seeds s join anyseed a on a.qid = s.qid where a.a = 0) where rank <= 5
+"""

@@ -47,3 +47,44 @@ QUERIES = {
     "decay_strict": q_decay_strict,
     "decay_capped": q_decay_capped,
 }
+
+
+# --------------------------------------------------------------------------- walk
+def _walk(spark: SparkSession, sf_dir: str, metric: str, tau: float, start: str):
+    from dualspace.operators import search, walk
+    from dualspace.session import cut_lineage
+    chunks, queries = chunk_vectors(spark, sf_dir), query_vectors(spark, sf_dir)
+    z, lam = z_standin(chunks, Z_DIMS)
+    space = M.build_space(metric, z, lam, Z_DIMS)
+    if start == "anchors":
+        seeds = search.anchors(chunks, queries, tau, 3)
+    else:
+        seeds = search.strict_start_set(chunks, queries, tau)
+    seeds = cut_lineage(seeds.select("pool_id", "qid", "chunk_idx"))
+    mass = walk.random_walk(space.points, space.state, metric, seeds, queries.select("pool_id", "qid"))
+    return mass, seeds
+
+
+def q_ppr_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dualspace.plans.common import rounded
+    mass, _ = _walk(spark, sf_dir, "mahalanobis", TAU_MAIN, "anchors")
+    return rounded(mass, "mass")
+
+
+def q_ppr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dualspace.operators import walk
+    mass, seeds = _walk(spark, sf_dir, "mahalanobis", TAU_MAIN, "anchors")
+    return walk.topk_roles(mass, seeds, 5)
+
+
+def q_walk_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dualspace.plans.common import rounded
+    mass, _ = _walk(spark, sf_dir, "euclidean", TAU_ALT, "strict")
+    return rounded(mass, "mass")
+
+
+QUERIES.update({
+    "ppr_mass": q_ppr_mass,
+    "ppr_topk": q_ppr_topk,
+    "walk_strict": q_walk_strict,
+})
