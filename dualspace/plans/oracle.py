@@ -289,3 +289,18 @@ select pool_id, qid, role, rank, chunk_idx from (
          row_number() over (partition by s.qid order by s.chunk_idx) as rank, s.chunk_idx
   from seeds s join anyseed a on a.qid = s.qid where a.a = 0) where rank <= 5
 """
+
+
+# -- PCA invariants ---------------------------------------------------------------
+SQL["pca_invariants"] = FIX + """
+select pool_id, cast(least(8, count(*), 64) as integer) as d_eff, true as orthonormal, true as centred
+from chunks group by pool_id
+"""
+SQL["pca_total_variance"] = FIX + "select pool_id, round(" + " + ".join(
+    f"var_samp(x[{k}])" for k in range(1, 65)) + ", 6) as total_variance from chunks group by pool_id"
+SQL["pca_project"] = FIX + ",\nmu as (select pool_id, " + ", ".join(
+    f"avg(x[{k}]) as m{k}" for k in range(1, 65)) + """ from chunks group by pool_id)
+select c.pool_id, c.chunk_idx, round(sqrt(""" + " + ".join(
+    f"(c.x[{k}] - mu.m{k}) * (c.x[{k}] - mu.m{k})" for k in range(1, 65)) + """), 6) as znorm
+from chunks c join mu on mu.pool_id = c.pool_id
+"""
