@@ -304,3 +304,73 @@ select c.pool_id, c.chunk_idx, round(sqrt(""" + " + ".join(
     f"(c.x[{k}] - mu.m{k}) * (c.x[{k}] - mu.m{k})" for k in range(1, 65)) + """), 6) as znorm
 from chunks c join mu on mu.pool_id = c.pool_id
 """
+
+
+# -- answers (conversations carry only letters, digits, blanks, ',' and '.',
+#    so article removal is a whole-token filter here) --------------------------
+def _norm_tokens(x: str) -> str:
+    return (f"list_filter(string_split(trim(regexp_replace(translate(lower({x}), "
+            f"'!\"#$%&''()*+,-./:;<=>?@[\\]^_`{{|}}~', ''), '\\s+', ' ', 'g')), ' '), "
+            f"lambda t: t <> '' and t not in ('a', 'an', 'the'))")
+
+
+def _norm(x: str) -> str:
+    return f"array_to_string({_norm_tokens(x)}, ' ')"
+
+
+SQL["answer_normalize"] = f"select conv_id, turn, {_norm('text')} as norm from conversations"
+
+PAIRS = """
+with pairs as (
+  select u.conv_id, u.turn, u.text as gold, a.text as pred
+  from conversations u join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1
+  where u.role = 'user' and a.role = 'assistant'),
+"""
+
+SQL["em_f1"] = PAIRS + f"""
+tok as (select conv_id, turn, {_norm_tokens('pred')} as tp, {_norm_tokens('gold')} as tg from pairs),
+cp as (select conv_id, turn, t, count(*) as c from (select conv_id, turn, unnest(tp) as t from tok) group by all),
+cg as (select conv_id, turn, t, count(*) as c from (select conv_id, turn, unnest(tg) as t from tok) group by all),
+cm as (select cp.conv_id, cp.turn, sum(least(cp.c, cg.c)) as common from cp
+       join cg on cg.conv_id = cp.conv_id and cg.turn = cp.turn and cg.t = cp.t group by all),
+s as (select tok.conv_id, tok.turn, cast(len(tp) as double) as np, cast(len(tg) as double) as ng,
+             cast(coalesce(cm.common, 0) as double) as common,
+             cast(array_to_string(tp, ' ') = array_to_string(tg, ' ') as double) as em
+      from tok left join cm on cm.conv_id = tok.conv_id and cm.turn = tok.turn)
+select conv_id, turn, em,
+  round(case when np = 0 or ng = 0 then cast(np = ng as double) when common = 0 then 0.0
+        else 2.0 * (common / np) * (common / ng) / ((common / np) + (common / ng)) end, 6) as f1
+from s
+"""
+SQL["em_f1_inline"] = SQL["em_f1"]
+
+SQL["answer_clean"] = """
+select conv_id, turn,
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\.+$', ''),
+    '^\\s+|\\s+$', '', 'g'), '^"+|"+$', '', 'g'), '^''+|''+$', '', 'g') as answer
+from conversations
+"""
+
+_NAIVE_SCORES = FIX + """,
+top as (select qid, chunk_idx from qx where rank_ip <= 5),
+nr as (select qid, count(*) as n_retrieved from top group by qid),
+ng as (select qid, count(*) as n_gold from gold group by qid),
+hit as (select t.qid, count(*) as n_hit from top t join gold g on g.qid = t.qid and g.chunk_idx = t.chunk_idx group by t.qid),
+sc as (select q.qid, coalesce(nr.n_retrieved, 0) as n_retrieved, coalesce(ng.n_gold, 0) as n_gold,
+         case when coalesce(ng.n_gold, 0) = 0 then 1.0 else coalesce(hit.n_hit, 0) / ng.n_gold end as recall,
+         case when coalesce(nr.n_retrieved, 0) = 0 then 0.0 else coalesce(hit.n_hit, 0) / nr.n_retrieved end as precision
+       from queries q left join nr on nr.qid = q.qid left join ng on ng.qid = q.qid left join hit on hit.qid = q.qid)
+"""
+SQL["retrieval_pr"] = _NAIVE_SCORES + \
+    "select qid, n_retrieved, n_gold, round(recall, 6) as recall, round(precision, 6) as precision from sc"
+SQL["retrieval_summary"] = _NAIVE_SCORES + """select count(*) as n, round(coalesce(avg(recall), 0.0), 6) as mean_recall,
+  round(coalesce(avg(precision), 0.0), 6) as mean_precision from sc"""
+
+SQL["l2_normalize"] = """
+with e as (select vec_id, cast(embedding as double[]) as x from embeddings),
+n as (select vec_id, x, sqrt(list_sum(list_transform(x, lambda t: t * t))) as nrm from e),
+u as (select vec_id, case when nrm = 0 then list_transform(x, lambda t: t * 0.0)
+                          else list_transform(x, lambda t: t / nrm) end as u from n)
+select vec_id, round(list_sum(u), 6) as vsum, round(sqrt(list_sum(list_transform(u, lambda t: t * t))), 6) as vnorm
+from u
+"""
