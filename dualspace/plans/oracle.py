@@ -374,3 +374,106 @@ u as (select vec_id, case when nrm = 0 then list_transform(x, lambda t: t * 0.0)
 select vec_id, round(list_sum(u), 6) as vsum, round(sqrt(list_sum(list_transform(u, lambda t: t * t))), 6) as vnorm
 from u
 """
+
+
+# -- results log (events-derived) and report tables --------------------------------
+RES = """
+with res as (
+select concat('ds', cast(event_id % 2 as varchar)) as dataset,
+       concat('emb', cast((event_id // 2) % 2 as varchar)) as embedder,
+       case when (event_id // 4) % 4 = 2 then 'cosine_x'
+            when (event_id // 4) % 4 = 3 then 'none'
+            when (event_id // 16) % 3 = 0 then 'mahalanobis'
+            when (event_id // 16) % 3 = 1 then 'euclidean' else 'rbf' end as metric,
+       case (event_id // 4) % 4 when 0 then 'decay' when 1 then 'ppr'
+            when 2 then 'naive' else 'no_context' end as strategy,
+       case when (event_id // 48) % 2 = 0 then 8 else 16 end as d,
+       cast(event_id // 96 as varchar) as qid,
+       concat('question ', cast(event_id // 96 as varchar)) as query,
+       event_type as gold_answer, props as predicted,
+       (event_id * 37 % 129) / cast(128 as double) as f1,
+       case when event_id * 37 % 129 = 128 then cast(1 as double) else cast(0 as double) end as em,
+       (event_id * 53 % 5) / cast(4 as double) as recall,
+       (event_id * 29 % 9) / cast(8 as double) as "precision",
+       case when event_id % 10 = 0 then null
+            when event_id * 7 % 3 = 0 then cast(1 as double) else cast(0 as double) end as judge,
+       concat(event_type, ' ', props) as judge_rationale,
+       cast(event_id * 13 % 16 as int) as n_retrieved,
+       (event_id * 11 % 257) / cast(64 as double) as wall_s,
+       event_id as seq
+from events)
+"""
+
+SQL["table_accuracy"] = RES + """select dataset, embedder, metric, strategy, avg(em) as em,
+  avg(f1) as f1, avg(judge) as judge, count(qid) as n from res group by all"""
+SQL["table_retrieval"] = RES + """select dataset, embedder, metric, strategy, avg(recall) as recall,
+  avg("precision") as "precision", avg(n_retrieved) as retrieved, count(qid) as n
+  from res group by all"""
+SQL["table_wallclock"] = RES + """select dataset, embedder, metric, strategy, avg(wall_s) as mean_wall_s,
+  sum(wall_s) as total_wall_s from res group by all"""
+SQL["heatmap_f1"] = RES + """select dataset, metric, avg(f1) filter (where embedder = 'emb0') as emb0,
+  avg(f1) filter (where embedder = 'emb1') as emb1 from res group by all"""
+SQL["bar_f1"] = RES + """select dataset, metric, strategy, avg(f1) as f1 from res
+  where strategy in ('decay', 'ppr', 'naive', 'no_context') group by all"""
+SQL["scatter_recall_f1"] = RES + """select dataset, embedder, metric, strategy, avg(recall) as recall,
+  avg(f1) as f1 from res where strategy in ('decay', 'ppr', 'naive') group by all"""
+SQL["dim_ablation"] = RES + """, g as (select d, embedder, metric, avg(f1) as f1 from res
+  where strategy in ('decay', 'ppr') group by all)
+select d, embedder, metric, f1 as f1 from (
+  select *, row_number() over (partition by d order by f1 desc, embedder, metric) as r from g)
+where r = 1 and (select count(distinct d) from res) > 1"""
+SQL["exec_summary"] = RES + """,
+g as (select dataset, embedder, metric, strategy, avg(f1) as f1, avg(judge) as judge, count(qid) as n
+      from res group by all),
+bf as (select * from (select *, row_number() over (partition by dataset order by f1 desc, embedder, metric, strategy) r
+       from g) where r = 1),
+bj as (select * from (select *, row_number() over (partition by dataset order by judge desc, embedder, metric, strategy) r
+       from g where judge is not null) where r = 1),
+base as (select dataset, avg(case when strategy = 'naive' then f1 end) as naive_baseline_f1,
+         avg(case when strategy = 'no_context' then f1 end) as no_context_baseline_f1 from res group by dataset)
+select b.dataset, b.naive_baseline_f1 as naive_baseline_f1,
+  b.no_context_baseline_f1 as no_context_baseline_f1,
+  concat_ws(' + ', bf.embedder, bf.metric, bf.strategy) as best_by_f1, bf.f1 as best_f1, bf.n as best_f1_n,
+  concat_ws(' + ', bj.embedder, bj.metric, bj.strategy) as best_by_judge, bj.judge as best_judge
+from base b left join bf on bf.dataset = b.dataset left join bj on bj.dataset = b.dataset"""
+SQL["report_meta"] = RES + """select count(distinct qid) as questions, count(*) as rows,
+  array_to_string(list_sort(list_distinct(list(dataset))), ',') as datasets,
+  array_to_string(list_sort(list_distinct(list(embedder))), ',') as embedders,
+  array_to_string(list_sort(list_distinct(list(metric))), ',') as metrics,
+  array_to_string(list_sort(list_distinct(list(strategy))), ',') as strategies,
+  array_to_string(list_transform(list_sort(list_distinct(list(d))), lambda x: cast(x as varchar)), ',') as dims
+from res"""
+SQL["gallery"] = RES + """,
+pick as (select qid from (select distinct qid from res where strategy in ('decay', 'ppr'))
+         order by md5(concat('0', ':', qid)), qid limit 10)
+select r.qid, query, gold_answer, dataset, embedder, metric, strategy,
+  substring(predicted, 1, 300) as predicted_preview, substring(judge_rationale, 1, 200) as rationale_preview,
+  f1, em, judge
+from res r join pick p on p.qid = r.qid"""
+SQL["cell_summary"] = RES + """select dataset, embedder, metric, strategy, d, avg(f1) as mean_f1,
+  avg(em) as mean_em, avg(coalesce(judge, 0.0)) as mean_judge,
+  avg(recall) as mean_recall, avg(n_retrieved) as mean_retrieved, count(*) as n
+  from res group by all"""
+SQL["running_means"] = RES + """select dataset, embedder, metric, strategy, d, seq,
+  avg(f1) over w as running_f1, avg(coalesce(judge, 0.0)) over w as running_judge,
+  avg(n_retrieved) over w as running_retrieved
+from res window w as (partition by dataset, embedder, metric, strategy, d order by seq
+  rows between unbounded preceding and current row)"""
+GRID = RES + """,
+ds as (select distinct dataset from res), em as (select distinct embedder from res where embedder <> 'none'),
+mt as (select distinct metric from res where metric not in ('cosine_x', 'none')),
+st as (select distinct strategy from res where strategy in ('decay', 'ppr')), dd as (select distinct d from res),
+cells as (
+  select dataset, embedder, metric, strategy, d from ds, em, mt, st, dd
+  union select dataset, embedder, 'cosine_x', 'naive', d from ds, em, dd
+  union select dataset, 'none', 'none', 'no_context', d from ds, dd)
+"""
+SQL["grid_cells"] = GRID + """select concat_ws('|', dataset, embedder, metric, strategy, concat('d', cast(d as varchar))) as label,
+  dataset, embedder, metric, strategy, d from cells"""
+SQL["pending_work"] = GRID + """,
+qs as (select distinct dataset, qid from res)
+select concat_ws('|', c.dataset, c.embedder, c.metric, c.strategy, concat('d', cast(c.d as varchar))) as label,
+  c.dataset, c.embedder, c.metric, c.strategy, c.d, q.qid
+from cells c join qs q on q.dataset = c.dataset
+where not exists (select 1 from res r where r.dataset = c.dataset and r.embedder = c.embedder and r.metric = c.metric
+  and r.strategy = c.strategy and r.d = c.d and r.qid = q.qid)"""
