@@ -477,3 +477,40 @@ select concat_ws('|', c.dataset, c.embedder, c.metric, c.strategy, concat('d', c
 from cells c join qs q on q.dataset = c.dataset
 where not exists (select 1 from res r where r.dataset = c.dataset and r.embedder = c.embedder and r.metric = c.metric
   and r.strategy = c.strategy and r.d = c.d and r.qid = q.qid)"""
+
+
+# -- loaders -----------------------------------------------------------------------
+QA = """
+with d as (select doc_id // 10 as pool, doc_id, 'Doc ' || cast(doc_id as varchar) as title,
+             string_split(text, chr(10)) as sentences, doc_id % 10 in (0, 3) as sup from documents),
+c as (select cast(pool as varchar) as pool_id,
+        cast(row_number() over (partition by pool order by doc_id) - 1 as integer) as chunk_idx, title,
+        concat(title, '. ', regexp_replace(array_to_string(list_transform(sentences,
+          lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), ' '), '^\\s+|\\s+$', '', 'g')) as text,
+        sup as is_gold from d)
+"""
+SQL["qa_pools"] = QA + "select * from c"
+SQL["qa_pools_pairs"] = QA + "select * from c"
+SQL["question_sample"] = """
+select cast(p as varchar) as qid, 'question ' || cast(p as varchar) as query
+from (select distinct doc_id // 10 as p from documents)
+order by md5('42:' || cast(p as varchar)), cast(p as varchar) limit 5
+"""
+SQL["evidence_link"] = """
+with corpus as (select page_id as idx, url,
+                  nullif(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '') as title from pages),
+n as (select count(*) as n from corpus),
+conv as (select distinct conv_id from conversations),
+q as (select 'mhrag-' || cast(c.conv_id as varchar) as qid, pa.url as ua, pb.title as tb
+      from conv c cross join n join corpus pa on pa.idx = c.conv_id % n.n join corpus pb on pb.idx = (c.conv_id + 1) % n.n),
+ev as (select qid, 0 as pos, ua as url, null as title from q
+       union all select qid, 1, null, tb from q
+       union all select qid, 2, 'https://unknown.example/x', tb from q
+       union all select qid, 3, 'https://unknown.example/x', null from q),
+um as (select url, max(idx) as u_idx from corpus where url is not null and url <> '' group by url),
+tm as (select title, max(idx) as t_idx from corpus where title is not null and title <> '' group by title),
+r as (select ev.qid, ev.pos, coalesce(um.u_idx, tm.t_idx) as chunk_idx from ev
+      left join um on um.url = nullif(ev.url, '') left join tm on tm.title = nullif(ev.title, '')),
+f as (select qid, chunk_idx, min(pos) as pos from r where chunk_idx is not null group by all)
+select qid, chunk_idx, row_number() over (partition by qid order by pos) as rank from f
+"""
