@@ -514,3 +514,95 @@ r as (select ev.qid, ev.pos, coalesce(um.u_idx, tm.t_idx) as chunk_idx from ev
 f as (select qid, chunk_idx, min(pos) as pos from r where chunk_idx is not null group by all)
 select qid, chunk_idx, row_number() over (partition by qid order by pos) as rank from f
 """
+
+
+# -- prompts, stub answers, judge replies ----------------------------------------
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _fill_sql(template: str, **vals) -> str:
+    import re as _re
+    parts = _re.split(r"(\{\{|\}\}|\{[a-z_]+\})", template)
+    out = []
+    for p in parts:
+        if not p:
+            continue
+        if p == "{{":
+            out.append("'{'")
+        elif p == "}}":
+            out.append("'}'")
+        elif p.startswith("{") and p.endswith("}"):
+            out.append(vals[p[1:-1]])
+        else:
+            out.append(_lit(p).replace("\n", "' || chr(10) || '"))
+    return "(" + " || ".join(out) + ")"
+
+
+def _prompt_sql() -> str:
+    from dualspace.operators.prompts import FLAT_TEMPLATE, MRAG_TEMPLATE, NO_CONTEXT_TEMPLATE
+    mrag = _fill_sql(MRAG_TEMPLATE, primary="coalesce(p, '(none)')", structural="coalesce(s, '(none)')",
+                     query="query")
+    flat = _fill_sql(FLAT_TEMPLATE, context="coalesce(fl, '(none)')", query="query")
+    none = _fill_sql(NO_CONTEXT_TEMPLATE, query="query")
+    return QA + f""",
+q as (select distinct pool_id as qid, 'question ' || pool_id as query,
+        case cast(pool_id as bigint) % 3 when 0 then 'decay' when 1 then 'naive' else 'no_context' end as strategy
+      from c),
+r as (select pool_id as qid, case when is_gold then 'primary' else 'structural' end as role, chunk_idx, text,
+        row_number() over (partition by pool_id, is_gold order by chunk_idx) as rank from c),
+rc as (select * from r where rank <= case when role = 'primary' then 5 else 10 end),
+sec as (select qid,
+          string_agg('- ' || text, chr(10) order by rank) filter (where role = 'primary') as p,
+          string_agg('- ' || text, chr(10) order by rank) filter (where role = 'structural') as s,
+          string_agg('- ' || text, chr(10) order by case when role = 'primary' then 0 else 1 end, rank) as fl
+        from rc group by qid),
+pr as (select q.qid, q.strategy,
+         case when q.strategy = 'no_context' then {none}
+              when q.strategy in ('decay', 'ppr') then {mrag} else {flat} end as prompt
+       from q left join sec on sec.qid = q.qid)
+"""
+
+
+SQL["prompt_sections"] = _prompt_sql() + "select qid, strategy, prompt from pr"
+SQL["extractive_answer"] = _prompt_sql() + """select qid,
+  case when regexp_matches(prompt, '(?m)^- ') then substring(regexp_extract(prompt, '(?m)^- ([^.\\n]*)', 1), 1, 50)
+       else 'unknown' end as answer from pr"""
+SQL["answer_keys"] = _prompt_sql() + """select qid,
+  substring(sha1(prompt || chr(0) || 'gen-model' || chr(0)), 1, 24) as key from pr"""
+
+SQL["judge_parse"] = PAIRS + """
+rep as (select conv_id, turn, pred, 'turn ' || cast(turn as varchar) as rat, conv_id % 7 as v from pairs),
+raw as (select conv_id, turn, case v
+   when 0 then 'note {"correct": true, "rationale": "' || rat || '"} end'
+   when 1 then 'verdict: {"correct": false, "rationale": "' || rat || '"}'
+   when 2 then pred
+   when 3 then '{"correct": maybe, "rationale": "' || rat || '"}'
+   when 4 then '{"rationale": "' || rat || '"}'
+   when 5 then 'answer' || chr(10) || '{' || chr(10) || '  "correct": true,' || chr(10) || '  "rationale": "' || rat || '"' || chr(10) || '}' || chr(10)
+   else '{"correct": "false", "rationale": "' || rat || '"}' end as raw from rep),
+m as (select conv_id, turn, raw, regexp_extract(raw, '(?s)\\{.*\\}', 0) as m from raw),
+v0 as (select *, case when m <> '' then json_valid(m) else false end as okj from m),
+v as (select conv_id, turn, raw, case when okj then m else '{}' end as m,
+        case when okj then json_type(case when okj then m else '{}' end) = 'OBJECT' else false end as ok from v0)
+select conv_id, turn,
+  case when ok then coalesce(json_type(m, '$.correct') = 'BOOLEAN' and cast(json_extract(m, '$.correct') as varchar) = 'true', false)
+       else false end as correct,
+  case when ok then coalesce(json_extract_string(m, '$.rationale'), '') else 'judge parse failed' end as rationale,
+  case when ok then null else substring(raw, 1, 500) end as raw_preview
+from v
+"""
+
+
+def _judge_keys_sql() -> str:
+    from dualspace.operators.prompts import JUDGE_TEMPLATE
+    q = "('conversation ' || cast(conv_id as varchar))"
+    jp = _fill_sql(JUDGE_TEMPLATE, query=q, gold="gold", pred="pred")
+    return PAIRS + f"""x as (select 1)
+select conv_id, turn,
+  substring(sha1({q} || chr(0) || pred || chr(0) || gold || chr(0) || 'judge-model' || chr(0)), 1, 24) as key,
+  length({jp}) as prompt_chars
+from pairs"""
+
+
+SQL["judge_keys"] = _judge_keys_sql()
