@@ -606,3 +606,47 @@ from pairs"""
 
 
 SQL["judge_keys"] = _judge_keys_sql()
+
+
+# -- TF-IDF ------------------------------------------------------------------------
+def _tfidf_ctes() -> str:
+    from dualspace.operators.tfidf import english_stop_words
+    stop = "[" + ", ".join(_lit(w) for w in english_stop_words()) + "]"
+    tok = (f"list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), "
+           f"lambda w: not list_contains({stop}, w))")
+    return f"""
+with corpus as (select min(doc_id) as doc_id, text from documents group by text),
+toks as (select doc_id, unnest({tok}) as term from corpus),
+tc as (select doc_id, term, count(*) as tf from toks group by all),
+st as (select term, count(*) as df, sum(tf) as total from tc group by term),
+top as (select * from st order by total desc, term limit 4096),
+nn as (select count(*) as n from corpus),
+vocab as (select term, row_number() over (order by term) - 1 as idx, ln((1.0 + nn.n) / (1.0 + df)) + 1.0 as idf
+          from top cross join nn),
+w0 as (select tc.doc_id, v.idx, tc.term, tc.tf * v.idf as raw from tc join vocab v on v.term = tc.term),
+wd as (select doc_id, idx, term, raw / sqrt(sum(raw * raw) over (partition by doc_id)) as w from w0),
+qtok as (select item_id, unnest({tok}) as term from benchmark),
+qtc as (select item_id, term, count(*) as tf from qtok group by all),
+q0 as (select q.item_id, v.idx, q.tf * v.idf as raw from qtc q join vocab v on v.term = q.term),
+wq as (select item_id, idx, raw / sqrt(sum(raw * raw) over (partition by item_id)) as w from q0),
+sc as (select wq.item_id, wd.doc_id, sum(wq.w * wd.w) as score from wq join wd on wd.idx = wq.idx group by all),
+topk as (select * from (select *, row_number() over (partition by item_id order by round(score, 12) desc, doc_id) as rank
+         from sc) where rank <= 5),
+gold as (select b.item_id, c.doc_id from benchmark b join corpus c on contains(c.text, b.text))
+"""
+
+
+SQL["tfidf_weights"] = _tfidf_ctes() + "select doc_id, idx, term, round(w, 6) as w from wd"
+SQL["tfidf_topk"] = _tfidf_ctes() + "select item_id, doc_id, rank, round(score, 6) as score from topk"
+SQL["tfidf_retrieval"] = _tfidf_ctes() + """,
+nr as (select item_id, count(*) as n_retrieved from topk group by item_id),
+ng as (select item_id, count(*) as n_gold from gold group by item_id),
+hit as (select t.item_id, count(*) as n_hit from topk t join gold g on g.item_id = t.item_id and g.doc_id = t.doc_id
+        group by t.item_id)
+select b.item_id as qid, coalesce(n_retrieved, 0) as n_retrieved, coalesce(n_gold, 0) as n_gold,
+  round(case when coalesce(n_gold, 0) = 0 then 1.0 else coalesce(n_hit, 0) / n_gold end, 6) as recall,
+  round(case when coalesce(n_retrieved, 0) = 0 then 0.0 else coalesce(n_hit, 0) / n_retrieved end, 6) as precision
+from benchmark b left join nr on nr.item_id = b.item_id left join ng on ng.item_id = b.item_id
+left join hit on hit.item_id = b.item_id
+"""
+SQL["containment_gold"] = """select b.item_id, d.doc_id from benchmark b join documents d on contains(d.text, b.text)"""
