@@ -57,3 +57,17 @@ QUERIES = {
     "tfidf_retrieval": q_tfidf_retrieval,
     "containment_gold": q_containment_gold,
 }
+
+
+def q_lsa_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E4/E5 rows-only check: one unit-length (or zero) vector per corpus text."""
+    from dualspace.functions import vectors as V
+    from dualspace.operators.tfidf import LsaEmbedder
+    corpus = text_corpus(spark, sf_dir)
+    emb = LsaEmbedder(corpus, 64)
+    v = emb.embed(corpus)
+    return rounded(v.select("doc_id", F.size("vec").alias("dim"), V.norm(V.as_double_vector("vec")).alias("norm")),
+                   "norm")
+
+
+QUERIES["lsa_embed"] = q_lsa_embed
