@@ -650,3 +650,20 @@ from benchmark b left join nr on nr.item_id = b.item_id left join ng on ng.item_
 left join hit on hit.item_id = b.item_id
 """
 SQL["containment_gold"] = """select b.item_id, d.doc_id from benchmark b join documents d on contains(d.text, b.text)"""
+
+
+# -- vector store --------------------------------------------------------------------
+_KEY = "sha1(text || chr(0) || 'tfidf' || chr(0) || '64' || chr(0) || 'RETRIEVAL_DOCUMENT' || chr(0))"
+SQL["vector_store_misses"] = f"""
+with req as (select {_KEY} as key, text from documents),
+st as (select {_KEY} as key from documents where doc_id in (select doc_id from labels))
+select key, length(min(text)) as chars from req where key not in (select key from st) group by key
+"""
+SQL["vector_store_stats"] = """
+select 'tfidf' as model, 64 as dim, 'RETRIEVAL_DOCUMENT' as task, count(distinct text) as rows,
+  count(distinct text) * 4 * 64 as bytes from documents
+"""
+SQL["corpus_fingerprint"] = QA + """
+select pool_id, substring(sha1(string_agg(text || chr(0), '' order by chunk_idx)), 1, 16) as fingerprint
+from c group by pool_id
+"""
