@@ -22,4 +22,14 @@ def oracle_queries() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.q_anchors(spark, sf_dir)
+    """Anchors + two-hop decay traversal (Mahalanobis on the supplied Z) + caps,
+    scored per query against the gold support: (qid, n_retrieved, n_gold, recall, precision)."""
+    from pyspark.sql import functions as F
+
+    from dualspace.operators import evaluate
+    from dualspace.sources.fixtures import chunk_vectors, gold_support, query_vectors
+    capped = traversal_plans.q_decay_capped(spark, sf_dir)
+    chunks, queries = chunk_vectors(spark, sf_dir), query_vectors(spark, sf_dir)
+    pr = evaluate.recall_precision(capped.select("qid", "chunk_idx"), gold_support(chunks, queries), queries)
+    return pr.select("qid", "n_retrieved", "n_gold", F.round("recall", 6).alias("recall"),
+                     F.round("precision", 6).alias("precision"))
