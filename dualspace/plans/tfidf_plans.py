@@ -16,17 +16,23 @@ def text_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("text").agg(F.min("doc_id").alias("doc_id"))
 
 
-def q_tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _fit(spark, sf_dir):
+    """Corpus, its term counts (materialised once: read by fit and transform) and vocabulary."""
+    from dualspace.session import cut_lineage
     corpus = text_corpus(spark, sf_dir)
-    vocab = tfidf.fit_tfidf(corpus, 256)
-    return rounded(tfidf.transform_tfidf(corpus, vocab), "w")
+    tc = cut_lineage(tfidf.term_counts(corpus))
+    return corpus, tc, tfidf.fit_tfidf(corpus, 256, counts=tc)
+
+
+def q_tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus, tc, vocab = _fit(spark, sf_dir)
+    return rounded(tfidf.transform_tfidf(corpus, vocab, counts=tc), "w")
 
 
 def _retrieval(spark, sf_dir, k=5):
-    corpus = text_corpus(spark, sf_dir)
-    vocab = tfidf.fit_tfidf(corpus, 256)
+    corpus, tc, vocab = _fit(spark, sf_dir)
     items = read_table(spark, sf_dir, "benchmark", ["item_id", "text"])
-    dv = tfidf.transform_tfidf(corpus, vocab)
+    dv = tfidf.transform_tfidf(corpus, vocab, counts=tc)
     qv = tfidf.transform_tfidf(items, vocab, key="item_id")
     top = tfidf.sparse_cosine_topk(qv, dv, k, "item_id", "doc_id")
     return top, items, corpus
