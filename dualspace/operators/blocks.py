@@ -90,3 +90,14 @@ def sample_per_pool(df: DataFrame, id_col: str, n: int, seed, key: str = "pool_i
     glob = local.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("_h", id_col))).where(
         F.col("_r") <= n)
     return glob.drop("_nb", "_h", "_blk", "_r")
+
+
+def ddl_type(df: DataFrame, col: str) -> str:
+    """The DDL type of a column, used to declare kernel output schemas so ids of
+    any type (integer pools, string question ids) pass through unchanged."""
+    return df.schema[col].dataType.simpleString()
+
+
+def ids(series) -> "np.ndarray":  # noqa: F821
+    """Id column as a numpy array without forcing a type."""
+    return series.to_numpy()

@@ -96,8 +96,8 @@ def knn_graph(z: DataFrame, k: int = BHAT_K, block: int = DEFAULT_BLOCK) -> Data
 
     def kernel(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if len(left) == 0 or len(right) == 0:
-            return pd.DataFrame({"pool_id": [], "i": [], "j": [], "d2": []}).astype(
-                {"pool_id": "int64", "i": "int64", "j": "int64", "d2": "float64"})
+            return pd.DataFrame({"pool_id": pd.Series(dtype=object), "i": pd.Series(dtype=object),
+                                 "j": pd.Series(dtype=object), "d2": pd.Series(dtype="float64")})
         A, B = stack_vectors(left["z"]), stack_vectors(right["z"])
         d2 = sq_dists(A, B)
         keep = np.ones_like(d2, dtype=bool)
@@ -106,14 +106,16 @@ def knn_graph(z: DataFrame, k: int = BHAT_K, block: int = DEFAULT_BLOCK) -> Data
             keep = d2 <= kth
         ii, jj = np.nonzero(keep)
         return pd.DataFrame({
-            "pool_id": np.full(len(ii), int(key[0]), dtype=np.int64),
-            "i": left["chunk_idx"].to_numpy(dtype=np.int64)[ii],
-            "j": right["chunk_idx"].to_numpy(dtype=np.int64)[jj],
+            "pool_id": [key[0]] * len(ii),
+            "i": left["chunk_idx"].to_numpy()[ii],
+            "j": right["chunk_idx"].to_numpy()[jj],
             "d2": d2[ii, jj],
         })
 
     cand = ig.groupBy(*keys).cogroup(jg.groupBy(*keys)).applyInPandas(
-        kernel, "pool_id long, i long, j long, d2 double")
+        kernel, f"pool_id {pts.schema['pool_id'].dataType.simpleString()}, "
+                f"i {pts.schema['chunk_idx'].dataType.simpleString()}, "
+                f"j {pts.schema['chunk_idx'].dataType.simpleString()}, d2 double")
     sizes = pool_counts(pts, "n").select(
         "pool_id", F.greatest(F.lit(2), F.least(F.lit(k), F.col("n") - 1)).alias("k_eff"))
     ranked = cand.withColumn("rank", F.row_number().over(Window.partitionBy("pool_id", "i").orderBy("d2", "j")))

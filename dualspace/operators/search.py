@@ -14,16 +14,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dualspace.operators.blocks import DEFAULT_BLOCK, pair_grid, stack_vectors
+from dualspace.operators.blocks import DEFAULT_BLOCK, ddl_type, ids, pair_grid, stack_vectors
 
-SCAN_SCHEMA = "pool_id long, qid long, chunk_idx long, ip double, dx double"
 
 
 def _scan_kernel(k: int, bound: float):
     def kernel(key, chunks: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if len(chunks) == 0 or len(queries) == 0:
             return pd.DataFrame({c: pd.Series(dtype=t) for c, t in
-                                 [("pool_id", "int64"), ("qid", "int64"), ("chunk_idx", "int64"),
+                                 [("pool_id", object), ("qid", object), ("chunk_idx", object),
                                   ("ip", "float64"), ("dx", "float64")]})
         X = stack_vectors(chunks["x"])
         Q = stack_vectors(queries["q"])
@@ -43,9 +42,9 @@ def _scan_kernel(k: int, bound: float):
             keep |= (dx <= kth_dx) | (ip >= kth_ip)
         qi, ci = np.nonzero(keep)
         return pd.DataFrame({
-            "pool_id": np.full(len(qi), int(key[0]), dtype=np.int64),
-            "qid": queries["qid"].to_numpy(dtype=np.int64)[qi],
-            "chunk_idx": chunks["chunk_idx"].to_numpy(dtype=np.int64)[ci],
+            "pool_id": [key[0]] * len(qi),
+            "qid": ids(queries["qid"])[qi],
+            "chunk_idx": ids(chunks["chunk_idx"])[ci],
             "ip": ip[qi, ci],
             "dx": dx[qi, ci],
         })
@@ -65,7 +64,9 @@ def scan(chunks: DataFrame, queries: DataFrame, k: int, bound: float,
     q = queries.select("pool_id", "qid", "q")
     cg, qg = pair_grid(c, "chunk_idx", q, "qid", chunk_block, query_block)
     keys = ["pool_id", "lb", "rb"]
-    out = cg.groupBy(*keys).cogroup(qg.groupBy(*keys)).applyInPandas(_scan_kernel(k, bound), SCAN_SCHEMA)
+    schema = (f"pool_id {ddl_type(c, 'pool_id')}, qid {ddl_type(q, 'qid')}, "
+              f"chunk_idx {ddl_type(c, 'chunk_idx')}, ip double, dx double")
+    out = cg.groupBy(*keys).cogroup(qg.groupBy(*keys)).applyInPandas(_scan_kernel(k, bound), schema)
     by_q = Window.partitionBy("qid")
     return (out
             .withColumn("rank_ip", F.row_number().over(by_q.orderBy(F.desc("ip"), "chunk_idx")))
