@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType
 
 from dualspace.functions import vectors as V
 from dualspace.operators.blocks import DEFAULT_BLOCK, block_of, n_blocks, pool_counts, sample_per_pool, stack_vectors
@@ -123,32 +123,32 @@ def knn_graph(z: DataFrame, k: int = BHAT_K, block: int = DEFAULT_BLOCK) -> Data
         "pool_id", "i", "j", "rank", "d2")
 
 
-def local_covariance(z: DataFrame, lam: DataFrame, dim: int, k: int = BHAT_K) -> DataFrame:
+def local_covariance(z: DataFrame, lam: DataFrame, dim: int | None = None, k: int = BHAT_K) -> DataFrame:
     """Covariance (n-1) of each point's k-NN plus 1e-6 I, and its log-determinant.
 
-    Sample covariances are JVM aggregates (covar_samp per entry pair) grouped by
-    point — each group holds k <= 10 rows. A single-neighbour point falls back to
+    Each point folds its k <= 10 neighbour vectors (a bounded collect) and an
+    Arrow UDF computes the covariance for whatever Z dimension its pool has
+    (d_eff varies with pool size). A single-neighbour point falls back to
     diag(lambda). -> (pool_id, chunk_idx, cov ARRAY<DOUBLE> row-major, logdet)."""
     g = knn_graph(z, k)
     nb = g.join(z.select("pool_id", F.col("chunk_idx").alias("j"), "z"), ["pool_id", "j"])
-    aggs = []
-    for a in range(dim):
-        for b in range(a, dim):
-            aggs.append(F.covar_samp(F.col("z")[a], F.col("z")[b]).alias(f"c{a}_{b}"))
-    cov = nb.groupBy("pool_id", F.col("i").alias("chunk_idx")).agg(*aggs).join(lam, "pool_id")
-    entries = []
-    for a in range(dim):
-        for b in range(dim):
-            lo, hi = min(a, b), max(a, b)
-            fallback = F.col("lam")[a] if a == b else F.lit(0.0)
-            e = F.coalesce(F.col(f"c{lo}_{hi}"), fallback)
-            if a == b:
-                e = e + F.lit(LOCAL_COV_RIDGE)
-            entries.append(e)
-    out = cov.select("pool_id", "chunk_idx", F.array(*entries).alias("cov"))
+    folded = nb.groupBy("pool_id", F.col("i").alias("chunk_idx")).agg(F.collect_list("z").alias("nbrs"))
+    out = folded.join(lam, "pool_id").select("pool_id", "chunk_idx", local_cov_udf("nbrs", "lam").alias("cov"))
     return out.withColumn("logdet", logdet_udf(F.col("cov")))
 
 
+@F.pandas_udf(ArrayType(DoubleType()))
+def local_cov_udf(nbrs: pd.Series, lam: pd.Series) -> pd.Series:
+    out = []
+    for nb, lm in zip(nbrs, lam):
+        A = stack_vectors(pd.Series(list(nb)))
+        d = A.shape[1]
+        c = np.cov(A, rowvar=False) if A.shape[0] > 1 else np.diag(np.asarray(lm, dtype=float)[:d])
+        c = np.atleast_2d(c) + LOCAL_COV_RIDGE * np.eye(d)
+        out.append(c.ravel())
+    return pd.Series(out)
+
+
 @F.pandas_udf(DoubleType())
 def logdet_udf(cov: pd.Series) -> pd.Series:
     if len(cov) == 0:

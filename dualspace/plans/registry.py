@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dualspace.plans import metric_plans, oracle, pca_plans, prompt_plans, report_plans, retrieval, source_plans, store_plans, stream_plans, text_plans, tfidf_plans, traversal_plans
+from dualspace.plans import grid_plans, metric_plans, oracle, pca_plans, prompt_plans, report_plans, retrieval, source_plans, store_plans, stream_plans, text_plans, tfidf_plans, traversal_plans
 
 
 def registered_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-    for mod in (retrieval, metric_plans, traversal_plans, pca_plans, text_plans, report_plans, source_plans, prompt_plans, tfidf_plans, store_plans, stream_plans):
+    for mod in (retrieval, metric_plans, traversal_plans, pca_plans, text_plans, report_plans, source_plans, prompt_plans, tfidf_plans, store_plans, stream_plans, grid_plans):
         out.update(mod.QUERIES)
     return out
 
