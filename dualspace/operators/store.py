@@ -94,3 +94,42 @@ def corpus_fingerprint_commutative(chunks: DataFrame, pool: str = "pool_id", idx
     computed with a map-side partial aggregate."""
     return chunks.groupBy(pool).agg(
         F.sum(F.xxhash64(idx, text).cast("decimal(38,0)")).cast("string").alias("fingerprint"))
+
+
+class CompletionStore:
+    """Answers and judge replies keyed by sha1(parts NUL...)[:24], kept in a
+    Parquet table (key, model, text). Only keys that are not stored reach the
+    user's batch function (a Python callable over Arrow batches in mapInPandas,
+    e.g. a model client); results are appended and joined back."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark = spark
+        self.path = path.rstrip("/")
+
+    def read(self) -> DataFrame:
+        vs = VectorStore(self.spark, self.path)
+        if not vs._exists():
+            return self.spark.createDataFrame([], "key string, model string, text string")
+        return self.spark.read.schema("key string, model string, text string").parquet(self.path) \
+            .dropDuplicates(["key"])
+
+    def complete(self, requests: DataFrame, key: Column, payload: str, model: str,
+                 fn: Callable[[list[str]], list[str]], clean: Callable[[Column], Column] | None = None) -> DataFrame:
+        """requests(..., payload) -> requests + `text`, computing only unseen keys.
+        fn maps a list of payload strings to a list of replies."""
+        keyed = requests.withColumn("_key", key)
+        todo = keyed.select(F.col("_key").alias("key"), F.col(payload).alias("payload")).dropDuplicates(["key"]) \
+            .join(self.read().select("key"), "key", "left_anti")
+
+        def run(batches):
+            import pandas as pd
+            for pdf in batches:
+                if len(pdf):
+                    yield pd.DataFrame({"key": pdf["key"], "text": list(fn(pdf["payload"].tolist()))})
+
+        new = todo.mapInPandas(run, "key string, text string")
+        if clean is not None:
+            new = new.withColumn("text", clean(F.col("text")))
+        new.withColumn("model", F.lit(model)).select("key", "model", "text").write.mode("append").parquet(self.path)
+        got = self.read().select(F.col("key").alias("_key"), "text")
+        return keyed.join(got, "_key", "left").drop("_key")

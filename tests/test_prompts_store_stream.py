@@ -61,3 +61,21 @@ def test_running_means_blocked_equals_window(spark):
     w = Window.partitionBy(*report.CELL).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     b = {(tuple(x[:5]), x.seq): x.f for x in r.select(*report.CELL, "seq", F.avg("f1").over(w).alias("f")).collect()}
     assert a == b
+
+
+def test_completion_store_calls_only_misses(spark):
+    from dualspace.functions.text import clean_answer
+    path = f"{checkpoint_dir(spark)}/answers-{uuid.uuid4().hex}"
+    cs = store.CompletionStore(spark, path)
+    req = spark.createDataFrame([(1, "p1"), (2, "p2"), (3, "p1")], "id int, prompt string")
+    calls = []
+
+    def fn(prompts):
+        calls.append(len(prompts))
+        return [f'"{p.upper()}".' for p in prompts]
+
+    key = P.answer_key("prompt", F.lit("m"))
+    out = {r.id: r.text for r in cs.complete(req, key, "prompt", "m", fn, clean_answer).collect()}
+    assert out == {1: "P1", 2: "P2", 3: "P1"}
+    cs.complete(req, key, "prompt", "m", fn, clean_answer).collect()
+    assert sum(calls) == 2
