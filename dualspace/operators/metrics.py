@@ -286,3 +286,32 @@ __all__ = [
     "sample_distances", "knn_graph", "local_covariance", "rbf_gamma", "max_dot", "canonical",
     "block_of", "n_blocks",
 ]
+
+
+def calibrate_epsilons(z: DataFrame, lam: DataFrame, metrics: list[str], quantile: float = 0.10,
+                       sample: int = 50, seed=42) -> DataFrame:
+    """D11 for several native metrics at once (R15): one seeded sample and one
+    bounded pair set per pool, every metric evaluated on the same pairs, all
+    quantiles in one grouped aggregate. -> (pool_id, metric, epsilon)."""
+    ms = [canonical(m) for m in metrics]
+    if any(m not in NATIVE for m in ms):
+        raise ValueError("calibrate_epsilons covers the native metrics; use calibrate_epsilon for bhattacharyya")
+    state = z.select("pool_id").distinct()
+    if "dot" in ms:
+        state = state.join(max_dot(z).withColumnRenamed("s", "_maxdot"), "pool_id")
+    if "rbf" in ms:
+        state = state.join(rbf_gamma(z).withColumnRenamed("s", "_gamma"), "pool_id")
+    pairs = sample_pairs(z, sample, seed, ["z"]).join(lam, "pool_id").join(state, "pool_id").select(
+        "pool_id", "z_i", "z_j", V.whiten("z_i", "lam", INV_COV_RIDGE).alias("w_i"),
+        V.whiten("z_j", "lam", INV_COV_RIDGE).alias("w_j"), *[c for c in ("_maxdot", "_gamma") if c in state.columns])
+    col = {"euclidean": lambda: pair_distance("euclidean", "z_i", "z_j"),
+           "mahalanobis": lambda: pair_distance("mahalanobis", "w_i", "w_j"),
+           "cosine": lambda: pair_distance("cosine", "z_i", "z_j"),
+           "dot": lambda: pair_distance("dot", "z_i", "z_j", "_maxdot"),
+           "rbf": lambda: pair_distance("rbf", "z_i", "z_j", "_gamma")}
+    long = pairs.select("pool_id", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), col[m]().alias("d"))
+                                                       for m in ms])).alias("e")).select("pool_id", "e.*")
+    q = long.groupBy("pool_id", "metric").agg(F.percentile(F.col("d"), quantile).alias("epsilon"))
+    grid = z.select("pool_id").distinct().withColumn("metric", F.explode(F.array(*[F.lit(m) for m in ms])))
+    return grid.join(q, ["pool_id", "metric"], "left").select(
+        "pool_id", "metric", F.coalesce("epsilon", F.lit(1.0)).alias("epsilon"))

@@ -34,11 +34,9 @@ def q_rbf_gamma(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_epsilon_by_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
-    for m in ["mahalanobis", "euclidean", "cosine", "dot", "rbf"]:
-        e = M.calibrate_epsilon(_space(spark, sf_dir, m), 0.10, EPS_SAMPLE, EPS_SEED).withColumn("metric", F.lit(m))
-        out = e if out is None else out.unionByName(e)
-    return rounded(out.select("pool_id", "metric", "epsilon"), "epsilon")
+    z, lam = z_standin(chunk_vectors(spark, sf_dir), Z_DIMS)
+    eps = M.calibrate_epsilons(z, lam, ["mahalanobis", "euclidean", "cosine", "dot", "rbf"], 0.10, EPS_SAMPLE, EPS_SEED)
+    return rounded(eps, "epsilon")
 
 
 def q_knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
