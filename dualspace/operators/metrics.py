@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from dualspace.functions import vectors as V
-from dualspace.operators.blocks import DEFAULT_BLOCK, block_of, n_blocks, pool_counts, sample_per_pool, stack_vectors
+from dualspace.operators.blocks import DEFAULT_BLOCK, pool_counts, sample_per_pool, stack_vectors
 
 METRICS = ["mahalanobis", "euclidean", "cosine", "dot", "bhattacharyya", "rbf"]
 ALIASES = {"dot_product": "dot", "negated_dot": "dot", "kernel": "rbf", "rbf_kernel": "rbf"}
@@ -283,8 +283,7 @@ def sample_distances(space: MetricSpace, sample: int = 50, seed=42) -> DataFrame
 
 __all__ = [
     "METRICS", "MetricSpace", "build_space", "pair_distance", "block_distance", "calibrate_epsilon",
-    "sample_distances", "knn_graph", "local_covariance", "rbf_gamma", "max_dot", "canonical",
-    "block_of", "n_blocks",
+    "sample_distances", "knn_graph", "local_covariance", "rbf_gamma", "max_dot", "canonical", "calibrate_epsilons",
 ]
 
 
