@@ -47,3 +47,22 @@ def test_incremental_embedding_stream(spark):
     q.awaitTermination()
     st = vs.stats().collect()
     assert st[0]["rows"] == 7          # every distinct text embedded once across micro-batches
+
+
+def test_failing_answer_function_gives_error_rows(spark):
+    c, q = chunk_vectors(spark, SF_SMALL), query_vectors(spark, SF_SMALL)
+    questions = q.select("qid", "pool_id", F.col("qid").cast("string").alias("query"), F.lit("x").alias("gold_answer"))
+    chunks = c.select("pool_id", "chunk_idx", F.lit("t").alias("text"))
+
+    def fn(prompt):
+        if prompt.endswith("Question: 0\nShort answer:"):
+            raise RuntimeError("boom")
+        return "x"
+
+    cells = [runner.CellConfig("emb", "table", "cosine_x", "naive", 4)]
+    rec = {r.qid: r for r in runner.evaluate_cells(cells, questions, chunks, gold_support(c, q), c, q,
+                                                   answer_fn=fn).collect()}
+    bad, good = rec[0], rec[25]
+    assert bad.judge_rationale == "error: boom" and bad.predicted == "" and bad.f1 == 0.0
+    assert bad.recall == 0.0 and bad.n_retrieved == 0
+    assert good.predicted == "x" and good.em == 1.0 and good.n_retrieved == 5
