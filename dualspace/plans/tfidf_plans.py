@@ -19,7 +19,7 @@ def text_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _fit(spark, sf_dir):
     """Corpus, its term counts (materialised once: read by fit and transform) and vocabulary."""
     from dualspace.session import cut_lineage
-    corpus = text_corpus(spark, sf_dir)
+    corpus = cut_lineage(text_corpus(spark, sf_dir))   # read by counts, the document count and transform
     tc = cut_lineage(tfidf.term_counts(corpus))
     return corpus, tc, tfidf.fit_tfidf(corpus, 256, counts=tc)
 
