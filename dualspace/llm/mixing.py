@@ -133,3 +133,42 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: each document's place in the mix."""
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").select("doc_id", "source")
     return mix(docs)
+
+
+def _oracle() -> str:
+    """The schedule slot by slot, as a recursive query; the weights and sizes restated."""
+    names = ["src0", *[f"src{i}" for i in range(1, 20)], "other"]
+    listed = ", ".join(f"'{n}'" for n in names[:-1])
+    each = lambda body: f"list_transform(range(1, 22), lambda i: {body})"
+    return f"""
+with recursive d as (
+  select doc_id, source, case when source in ({listed}) then source else 'other' end as entry,
+    coalesce((((doc_id % 2147483647) + 2147483647) % 2147483647 * 742938285) % 2147483647, 0) as k from documents),
+r as (select *, row_number() over (partition by entry order by k, doc_id nulls first, source nulls first) - 1 as rank from d),
+cfg as (
+  select [{', '.join(['6'] + ['1'] * 20)}]::bigint[] as a,
+    list_transform([{', '.join(f"'{n}'" for n in names)}], lambda s: coalesce(map_from_entries(e)[s], 0)) as n
+  from (select list((entry, c)) as e from (select entry, (count(*) + 63) // 64 as c from d group by entry))),
+sim as (
+  select -1::bigint as slot, 0 as phase, 0::bigint as slot0, {each('0::bigint')} as ran, {each('0::bigint')} as before,
+    0::bigint as pick, 0::bigint as block, 0::bigint as release, 0::bigint as deadline, 0 as own_phase
+  union all
+  select slot + 1, case when ended then phase + 1 else phase end, case when ended then slot + 2 else slot0 end,
+    case when ended then {each('0::bigint')} else now end,
+    case when ended then {each('before[i] + now[i]')} else before end,
+    p, before[p] + ran[p], slot0 + ran[p] * total // a[p], slot0 + best // 1000, phase
+  from (
+    select *, before[p] + now[p] = n[p] as ended from (
+      select *, {each('ran[i] + (i = p)::bigint')} as now from (
+        select *, best % 1000 as p from (
+          select *, list_min({each('''case when before[i] < n[i] and ran[i] * total // a[i] <= slot + 1 - slot0
+            then ((ran[i] + 1) * total + a[i] - 1) // a[i] * 1000 + i end''')}) as best from (
+            select sim.slot, sim.phase, sim.slot0, sim.ran, sim.before, cfg.a, cfg.n,
+              list_sum({each('case when before[i] < n[i] then a[i] else 0 end')})::bigint as total
+            from sim, cfg where slot + 1 < list_sum(n)))))))
+select doc_id, source, own_phase as phase, block, release, deadline, slot, rank % 64 as "offset"
+from r join sim on [{', '.join(f"'{n}'" for n in names)}][pick] = entry and block = rank // 64 and slot >= 0
+"""
+
+
+ORACLE_SQL = _oracle()

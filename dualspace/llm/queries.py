@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
-from dualspace.llm import mixing, packing, quality, secret_scan, simhash
+from dualspace.llm import chat, cleaning, mixing, packing, quality, secret_scan, simhash, topk, url_filter, warc
 
 QUERIES = {
     "op1_secret_scans": secret_scan.query,
     "op2_simhash_near_dedup": simhash.query,
+    "op3_chat_formatting": chat.query,
+    "op4_warc": warc.query,
     "op5_quality_classifier": quality.query,
+    "op6_exact_topk": topk.query,
     "op7_packing": packing.query,
+    "op8_quality_rules": cleaning.query,
+    "op9_url_filters": url_filter.query,
     "op10_source_mixing": mixing.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op3_chat_formatting": chat.ORACLE_SQL,
+    "op4_warc": warc.ORACLE_SQL,
+    "op6_exact_topk": topk.ORACLE_SQL,
+    "op8_quality_rules": cleaning.ORACLE_SQL,
+    "op10_source_mixing": mixing.ORACLE_SQL,
+}
