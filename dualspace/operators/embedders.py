@@ -54,7 +54,7 @@ REGISTRY = {"tfidf": tfidf_embedder, "table": table_embedder, "callable": callab
 
 def build_embedder(name: str, *args, **kwargs):
     if name not in REGISTRY:
-        raise ValueError(f"unknown embedder '{name}'. options: {list(REGISTRY)}")
+        raise ValueError(f"no embedder is called {name!r}; there are {', '.join(REGISTRY)}")
     return REGISTRY[name](*args, **kwargs)
 
 

@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from dualspace.functions import vectors as V
-from dualspace.operators.blocks import DEFAULT_BLOCK, pool_counts, sample_per_pool, stack_vectors
+from dualspace.operators.blocks import DEFAULT_BLOCK, pair_grid, pool_counts, sample_per_pool, stack_vectors
 
 METRICS = ["mahalanobis", "euclidean", "cosine", "dot", "bhattacharyya", "rbf"]
+# fixed values: the names a metric may be called by
 ALIASES = {"dot_product": "dot", "negated_dot": "dot", "kernel": "rbf", "rbf_kernel": "rbf"}
 NATIVE = {"mahalanobis", "euclidean", "cosine", "dot", "rbf"}
 
@@ -93,6 +94,7 @@ def knn_graph(z: DataFrame, k: int = BHAT_K, block: int = DEFAULT_BLOCK) -> Data
     pts = z.select("pool_id", "chunk_idx", "z")
     ig, jg = self_grid(pts, "chunk_idx", block)
     keys = ["pool_id", "lb", "rb"]
+    most = max(2, k)  # the clamp below asks for two neighbours at least
 
     def kernel(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if len(left) == 0 or len(right) == 0:
@@ -101,8 +103,8 @@ def knn_graph(z: DataFrame, k: int = BHAT_K, block: int = DEFAULT_BLOCK) -> Data
         A, B = stack_vectors(left["z"]), stack_vectors(right["z"])
         d2 = sq_dists(A, B)
         keep = np.ones_like(d2, dtype=bool)
-        if d2.shape[1] > k:
-            kth = np.partition(d2, k - 1, axis=1)[:, k - 1:k]
+        if d2.shape[1] > most:
+            kth = np.partition(d2, most - 1, axis=1)[:, most - 1:most]
             keep = d2 <= kth
         ii, jj = np.nonzero(keep)
         return pd.DataFrame({
@@ -137,37 +139,57 @@ def local_covariance(z: DataFrame, lam: DataFrame, dim: int | None = None, k: in
     return out.withColumn("logdet", logdet_udf(F.col("cov")))
 
 
+def _alike(shapes: list) -> list[tuple]:
+    """(shape, positions) of rows that stack: pools differ in Z dimension, so a batch may too."""
+    groups: dict = {}
+    for i, shape in enumerate(shapes):
+        groups.setdefault(shape, []).append(i)
+    return list(groups.items())
+
+
 @F.pandas_udf(ArrayType(DoubleType()))
 def local_cov_udf(nbrs: pd.Series, lam: pd.Series) -> pd.Series:
-    out = []
-    for nb, lm in zip(nbrs, lam):
-        A = stack_vectors(pd.Series(list(nb)))
-        d = A.shape[1]
-        c = np.cov(A, rowvar=False) if A.shape[0] > 1 else np.diag(np.asarray(lm, dtype=float)[:d])
-        c = np.atleast_2d(c) + LOCAL_COV_RIDGE * np.eye(d)
-        out.append(c.ravel())
+    out: list = [None] * len(nbrs)
+    rows = [np.stack([np.asarray(v, dtype=np.float64) for v in nb]) for nb in nbrs]
+    for (k, d), at in _alike([r.shape for r in rows]):
+        A = np.stack([rows[i] for i in at])
+        if k > 1:
+            A = A - A.mean(axis=1, keepdims=True)
+            C = np.einsum("mki,mkj->mij", A, A) / (k - 1)
+        else:
+            C = np.stack([np.diag(np.asarray(lam.iloc[i], dtype=np.float64)[:d]) for i in at])
+        C = C + LOCAL_COV_RIDGE * np.eye(d)
+        for n, i in enumerate(at):
+            out[i] = C[n].ravel()
     return pd.Series(out)
 
 
 @F.pandas_udf(DoubleType())
 def logdet_udf(cov: pd.Series) -> pd.Series:
-    if len(cov) == 0:
-        return pd.Series([], dtype="float64")
-    m = stack_vectors(cov)
-    d = int(round(np.sqrt(m.shape[1])))
-    return pd.Series(np.linalg.slogdet(m.reshape(-1, d, d))[1])
+    out = np.empty(len(cov))
+    for n, at in _alike([len(c) for c in cov]):
+        d = int(round(np.sqrt(n)))
+        out[at] = np.linalg.slogdet(stack_vectors(cov.iloc[at]).reshape(-1, d, d))[1]
+    return pd.Series(out)
 
 
 @F.pandas_udf(DoubleType())
 def bhattacharyya_udf(zi: pd.Series, zj: pd.Series, ci: pd.Series, cj: pd.Series,
                       li: pd.Series, lj: pd.Series) -> pd.Series:
-    if len(zi) == 0:
-        return pd.Series([], dtype="float64")
-    A, B = stack_vectors(zi), stack_vectors(zj)
-    d = A.shape[1]
-    Ci = stack_vectors(ci).reshape(-1, d, d)
-    Cj = stack_vectors(cj).reshape(-1, d, d)
-    return pd.Series(_bhattacharyya(A - B, Ci, Cj, li.to_numpy(float), lj.to_numpy(float)))
+    out = np.empty(len(zi))
+    for d, at in _alike([len(z) for z in zi]):
+        diff = stack_vectors(zi.iloc[at]) - stack_vectors(zj.iloc[at])
+        out[at] = _bhattacharyya(diff, stack_vectors(ci.iloc[at]).reshape(-1, d, d), stack_vectors(cj.iloc[at]).reshape(-1, d, d),
+                                 li.iloc[at].to_numpy(float), lj.iloc[at].to_numpy(float))
+    return pd.Series(out)
+
+
+def fallback_bhattacharyya(zi, zj, lam) -> Column:
+    """D5 for points without a local Gaussian: both take diag(lambda) + ridge, so only
+    the quadratic term is left."""
+    diff = V.subtract(zi, zj)
+    terms = F.zip_with(diff, lam, lambda x, v: x * x / (v + F.lit(LOCAL_COV_RIDGE)))
+    return F.lit(0.125) * F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
 
 
 def _bhattacharyya(diff: np.ndarray, Ci: np.ndarray, Cj: np.ndarray, li: np.ndarray, lj: np.ndarray) -> np.ndarray:
@@ -183,12 +205,15 @@ def _bhattacharyya(diff: np.ndarray, Ci: np.ndarray, Cj: np.ndarray, li: np.ndar
     return np.maximum(mahal + 0.5 * (lds - 0.5 * (li + lj)), 0.0)
 
 
-def sq_dists(A: np.ndarray, B: np.ndarray) -> np.ndarray:
-    """Squared Euclidean distances of two row blocks: exact differences while the
-    3-d temporary stays small, the matrix-product expansion beyond that."""
-    if A.shape[0] * B.shape[0] * max(A.shape[1], 1) <= 4_000_000:
-        return ((A[:, None, :] - B[None, :, :]) ** 2).sum(-1)
-    return np.maximum((A * A).sum(1)[:, None] + (B * B).sum(1)[None, :] - 2.0 * A @ B.T, 0.0)
+def sq_dists(A: np.ndarray, B: np.ndarray, cells: int = 4_000_000) -> np.ndarray:
+    """Squared Euclidean distances of two row blocks, always from exact differences;
+    `cells` bounds the temporary, by rows of A at a time."""
+    out = np.empty((A.shape[0], B.shape[0]))
+    step = max(1, cells // max(B.size, 1))
+    for at in range(0, A.shape[0], step):
+        diff = A[at:at + step, None, :] - B[None, :, :]
+        out[at:at + step] = np.einsum("ijk,ijk->ij", diff, diff)
+    return out
 
 
 # --------------------------------------------------------------------------- spaces
@@ -252,9 +277,14 @@ def block_distance(metric: str, Vi: np.ndarray, Vj: np.ndarray, s: float,
     if m == "dot":
         return s - Vi @ Vj.T
     out = np.empty((Vi.shape[0], Vj.shape[0]))
-    for r in range(Vi.shape[0]):
-        out[r] = _bhattacharyya(Vj - Vi[r], np.broadcast_to(Ci[r], Cj.shape), Cj,
-                                np.full(Vj.shape[0], Li[r]), Lj)
+    n, d = Vj.shape
+    step = max(1, 500_000 // max(n * d * d, 1))
+    for at in range(0, Vi.shape[0], step):
+        m = len(Vi[at:at + step])
+        diff = (Vj[None] - Vi[at:at + step, None]).reshape(-1, d)
+        out[at:at + step] = _bhattacharyya(
+            diff, np.repeat(Ci[at:at + step], n, axis=0), np.tile(Cj, (m, 1, 1)),
+            np.repeat(Li[at:at + step], n), np.tile(Lj, m)).reshape(m, n)
     return out
 
 
@@ -274,16 +304,37 @@ def calibrate_epsilon(space: MetricSpace, quantile: float = 0.10, sample: int =
     return pools.join(q, "pool_id", "left").select("pool_id", F.coalesce("epsilon", F.lit(1.0)).alias("epsilon"))
 
 
-def sample_distances(space: MetricSpace, sample: int = 50, seed=42) -> DataFrame:
-    """The pair distances the calibration sees. -> (pool_id, i, j, d)."""
+def reference_distances(space: MetricSpace, references: DataFrame, block: int = DEFAULT_BLOCK,
+                        reference_block: int = 1024) -> DataFrame:
+    """D1-D6 from the stated reference points (pool_id, chunk_idx) to all other points
+    of their pools, on a grid of blocks. -> (pool_id, i, j, d)."""
     cols = point_columns(space.metric)
-    pairs = sample_pairs(space.points, sample, seed, cols).join(space.state, "pool_id")
-    return pairs.select("pool_id", "i", "j", pair_distance(space.metric).alias("d"))
+    pts = space.points.select("pool_id", "chunk_idx", *cols).join(space.state.select("pool_id", "s"), "pool_id")
+    left = pts.join(references.select("pool_id", "chunk_idx"), ["pool_id", "chunk_idx"], "left_semi")
+    twin = pts.select(*[F.col(c).alias(c) for c in pts.columns])
+    lg, rg = pair_grid(left, "chunk_idx", twin, "chunk_idx", reference_block, block)
+    metric = space.metric
+
+    def kernel(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if len(a) == 0 or len(b) == 0:
+            return pd.DataFrame({"pool_id": pd.Series(dtype=object), "i": pd.Series(dtype=object),
+                                 "j": pd.Series(dtype=object), "d": pd.Series(dtype="float64")})
+        part = lambda p: ((stack_vectors(p["cov"]).reshape(len(p), -1, len(p["v"].iloc[0])), p["logdet"].to_numpy(float))
+                          if metric == "bhattacharyya" else (None, None))
+        (ca, la), (cb, lb) = part(a), part(b)
+        d = block_distance(metric, stack_vectors(a["v"]), stack_vectors(b["v"]), float(a["s"].iloc[0]), ca, cb, la, lb)
+        ii, jj = np.nonzero(a["chunk_idx"].to_numpy()[:, None] != b["chunk_idx"].to_numpy()[None, :])
+        return pd.DataFrame({"pool_id": [key[0]] * len(ii), "i": a["chunk_idx"].to_numpy()[ii],
+                             "j": b["chunk_idx"].to_numpy()[jj], "d": d[ii, jj]})
+    keys = ["pool_id", "lb", "rb"]
+    kind = {c: pts.schema[c].dataType.simpleString() for c in ("pool_id", "chunk_idx")}
+    return lg.groupBy(*keys).cogroup(rg.groupBy(*keys)).applyInPandas(
+        kernel, f"pool_id {kind['pool_id']}, i {kind['chunk_idx']}, j {kind['chunk_idx']}, d double")
 
 
 __all__ = [
     "METRICS", "MetricSpace", "build_space", "pair_distance", "block_distance", "calibrate_epsilon",
-    "sample_distances", "knn_graph", "local_covariance", "rbf_gamma", "max_dot", "canonical", "calibrate_epsilons",
+    "reference_distances", "knn_graph", "local_covariance", "rbf_gamma", "max_dot", "canonical", "calibrate_epsilons",
 ]
 
 

@@ -17,6 +17,12 @@ from pyspark.sql import functions as F
 from dualspace.operators.blocks import DEFAULT_BLOCK, ddl_type, ids, pair_grid, stack_vectors
 
 
+def cosine_distances(Q: np.ndarray, X: np.ndarray) -> np.ndarray:
+    """1 - cosine of every row pair; 1 where a norm is zero."""
+    ip = Q @ X.T
+    den = np.outer(np.sqrt(np.einsum("ij,ij->i", Q, Q)), np.sqrt(np.einsum("ij,ij->i", X, X)))
+    return np.where(den == 0.0, 1.0, 1.0 - ip / np.where(den == 0.0, 1.0, den))
+
 
 def _scan_kernel(k: int, bound: float):
     def kernel(key, chunks: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
@@ -27,11 +33,7 @@ def _scan_kernel(k: int, bound: float):
         X = stack_vectors(chunks["x"])
         Q = stack_vectors(queries["q"])
         ip = Q @ X.T
-        nx = np.sqrt(np.einsum("ij,ij->i", X, X))
-        nq = np.sqrt(np.einsum("ij,ij->i", Q, Q))
-        den = np.outer(nq, nx)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            dx = np.where(den == 0.0, 1.0, 1.0 - ip / np.where(den == 0.0, 1.0, den))
+        dx = cosine_distances(Q, X)
         keep = dx <= bound
         n = X.shape[0]
         if n <= k:

@@ -41,50 +41,66 @@ class VectorStore:
         fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
         return fs.exists(p)
 
-    def read(self, model: str | None = None, dim: int | None = None, task: str | None = None) -> DataFrame:
-        """All stored rows (model, dim, task, key, vec), deduplicated by key."""
+    def _stored(self, model: str | None = None, dim: int | None = None, task: str | None = None) -> DataFrame:
+        """Stored rows as they lie there, pruned to the given partition."""
         schema = "key string, vec array<float>, model string, dim int, task string"
         if not self._exists():
             return self.spark.createDataFrame([], schema)
         df = self.spark.read.schema(schema).parquet(self.path)
-        if model is not None:
-            df = df.where(F.col("model") == model)
-        if dim is not None:
-            df = df.where(F.col("dim") == dim)
-        if task is not None:
-            df = df.where(F.col("task") == task)
+        for column, value in (("model", model), ("dim", dim), ("task", task)):
+            df = df if value is None else df.where(F.col(column) == value)
+        return df
+
+    def read(self, model: str | None = None, dim: int | None = None, task: str | None = None,
+             keys: DataFrame | None = None) -> DataFrame:
+        """Stored rows (model, dim, task, key, vec), deduplicated by key; with `keys` (key)
+        only the requested ones are shuffled and deduplicated."""
+        df = self._stored(model, dim, task)
+        if keys is not None:
+            df = df.join(keys.select("key"), "key", "left_semi")
         return df.dropDuplicates(["model", "dim", "task", "key"])
 
     def get_or_compute(self, docs: DataFrame, model: str, dim: int, task: str,
                        compute: Callable[[DataFrame], DataFrame], key: str = "doc_id",
                        text: str = "text") -> DataFrame:
-        """Vectors for docs(key, text) in input order, computing only misses.
+        """One row (key, vec) for every row of docs(key, text), computing only misses.
 
-        compute(df(key, text)) -> df(key, vec ARRAY<FLOAT>)."""
+        compute(df(key, text)) -> df(key, vec ARRAY<FLOAT>). Nothing is appended when
+        nothing is missing; the result is unordered (rows carry their key)."""
+        from dualspace.session import cut_lineage
         keyed = docs.select(key, text).withColumn("_ck", content_key(text, model, dim, task))
-        stored = self.read(model, dim, task)
-        todo = misses(keyed.select(F.col("_ck").alias("key"), F.col(text).alias("text")), stored)
-        new = compute(todo)
-        (new.select("key", F.col("vec").cast("array<float>").alias("vec"))
-            .withColumn("model", F.lit(model)).withColumn("dim", F.lit(dim)).withColumn("task", F.lit(task))
-            .write.mode("append").partitionBy("model", "dim", "task").parquet(self.path))
-        vecs = self.read(model, dim, task).select(F.col("key").alias("_ck"), "vec")
-        return keyed.join(vecs, "_ck", "left").select(key, "vec").orderBy(key)
+        wanted = keyed.select(F.col("_ck").alias("key"))
+        todo = cut_lineage(misses(keyed.select(F.col("_ck").alias("key"), F.col(text).alias("text")),
+                                  self._stored(model, dim, task)))
+        if not todo.isEmpty():
+            (compute(todo).select("key", F.col("vec").cast("array<float>").alias("vec"))
+                .withColumn("model", F.lit(model)).withColumn("dim", F.lit(dim)).withColumn("task", F.lit(task))
+                .write.mode("append").partitionBy("model", "dim", "task").parquet(self.path))
+        vecs = self.read(model, dim, task, wanted).select(F.col("key").alias("_ck"), "vec")
+        return keyed.join(vecs, "_ck", "left").select(key, "vec")
 
     def stats(self) -> DataFrame:
         """Rows and vector bytes per (model, dim, task)."""
-        return self.read().groupBy("model", "dim", "task").agg(
-            F.count(F.lit(1)).alias("rows"), F.sum(F.lit(4) * F.size("vec")).alias("bytes"))
+        keys = self._stored().select("model", "dim", "task", "key", F.size("vec").alias("n")).dropDuplicates(
+            ["model", "dim", "task", "key"])  # the vectors stay where they are
+        return keys.groupBy("model", "dim", "task").agg(
+            F.count(F.lit(1)).alias("rows"), F.sum(F.lit(4) * F.col("n")).alias("bytes"))
+
+
+FINGERPRINT_BLOCK = 1024
 
 
 def corpus_fingerprint(chunks: DataFrame, pool: str = "pool_id", idx: str = "chunk_idx",
-                       text: str = "text") -> DataFrame:
-    """E11, order-sensitive: sha1 over every chunk text followed by NUL, in index
-    order, first 16 hex digits. Folds a whole pool, so use it on pools of
-    bounded size (question pools); see `corpus_fingerprint_commutative`."""
-    g = chunks.groupBy(pool).agg(F.array_sort(F.collect_list(F.struct(idx, text))).alias("_c"))
-    body = F.array_join(F.transform("_c", lambda e: F.concat(e[text], F.lit(NUL))), "")
-    return g.select(pool, F.substring(F.sha1(body), 1, 16).alias("fingerprint"))
+                       text: str = "text", block: int = FINGERPRINT_BLOCK) -> DataFrame:
+    """E11, order-sensitive, for pools of any size: sha1 over every chunk text
+    followed by NUL, per block of `block` consecutive indices, then sha1 over the blocks'
+    hashes in order, first 16 hex digits. A fold holds one block of texts, or 40
+    characters per block."""
+    fold = lambda c, v: F.array_join(F.transform(F.sort_array(c), lambda e: v(e)), "")
+    leaves = chunks.groupBy(pool, F.floor(F.col(idx) / block).alias("_b")).agg(F.collect_list(F.struct(idx, text)).alias("_c"))
+    leaves = leaves.select(pool, "_b", F.sha1(fold("_c", lambda e: F.concat(e[text], F.lit(NUL)))).alias("_h"))
+    tops = leaves.groupBy(pool).agg(F.collect_list(F.struct("_b", "_h")).alias("_c"))
+    return tops.select(pool, F.substring(F.sha1(fold("_c", lambda e: e["_h"])), 1, 16).alias("fingerprint"))
 
 
 def corpus_fingerprint_commutative(chunks: DataFrame, pool: str = "pool_id", idx: str = "chunk_idx",

@@ -28,6 +28,13 @@ qx as (
   from qx0)
 """
 
+# every vector a chunk; pools of 50 ids, or the whole table as one pool
+ALL = """
+with chunks as (
+  select vec_id // 50 as pool_id, vec_id as chunk_idx, label, cast(embedding as double[]) as x from embeddings)
+"""
+ONE_POOL = ALL.replace("vec_id // 50 as pool_id", "0::bigint as pool_id")
+
 SQL: dict[str, str] = {}
 
 SQL["naive_topk"] = FIX + """
@@ -60,20 +67,23 @@ def sql_dot(a: str, b: str, n: int) -> str:
     return _sum([f"{a}[{k}] * {b}[{k}]" for k in range(1, n + 1)])
 
 
-def sql_whiten(z: str, lam: str, n: int) -> str:
-    return "[" + ", ".join(f"{z}[{k}] / sqrt({lam}[{k}] + 1e-8)" for k in range(1, n + 1)) + "]"
+def z_coordinate(k: int, n: int) -> str:
+    """Coordinate k of the supplied space of n dimensions, before centring."""
+    return _sum([f"x[{j}]" for j in range(k, 65, 2)]) if n == 2 else f"x[{k}]"
 
 
 def z_ctes(n: int) -> str:
-    """The supplied structural space: z_k = x[k] - pool mean, lam_k = pool var_samp."""
-    ms = ", ".join(f"avg(x[{k}]) as m{k}" for k in range(1, n + 1))
-    vs = ", ".join(f"var_samp(x[{k}]) as v{k}" for k in range(1, n + 1))
-    zs = ", ".join(f"c.x[{k}] - s.m{k}" for k in range(1, n + 1))
+    """The supplied structural space: z_k = coordinate - pool mean, lam_k = pool var_samp."""
+    ms = ", ".join(f"avg(y[{k}]) as m{k}" for k in range(1, n + 1))
+    vs = ", ".join(f"var_samp(y[{k}]) as v{k}" for k in range(1, n + 1))
+    zs = ", ".join(f"c.y[{k}] - s.m{k}" for k in range(1, n + 1))
     ls = ", ".join(f"s.v{k}" for k in range(1, n + 1))
+    ys = ", ".join(z_coordinate(k, n) for k in range(1, n + 1))
     return f""",
-zstat as (select pool_id, {ms}, {vs} from chunks group by pool_id),
+ych as (select pool_id, chunk_idx, [{ys}] as y from chunks),
+zstat as (select pool_id, {ms}, {vs} from ych group by pool_id),
 z as (select c.pool_id, c.chunk_idx, [{zs}] as z, [{ls}] as lam
-      from chunks c join zstat s on c.pool_id = s.pool_id),
+      from ych c join zstat s on c.pool_id = s.pool_id),
 psize as (select pool_id, count(*) as n from chunks group by pool_id)
 """
 
@@ -110,7 +120,7 @@ def metric_expr(metric: str, n: int, zi: str = "z_i", zj: str = "z_j", lam: str
     if metric == "euclidean":
         return f"sqrt({sql_sq(zi, zj, n)})"
     if metric == "mahalanobis":
-        return f"sqrt({sql_sq(sql_whiten(zi, lam, n), sql_whiten(zj, lam, n), n)})"
+        return "sqrt(" + _sum([f"({zi}[{k}] - {zj}[{k}]) * ({zi}[{k}] - {zj}[{k}]) / ({lam}[{k}] + 1e-8)" for k in range(1, n + 1)]) + ")"
     if metric == "cosine":
         den = f"(sqrt({sql_dot(zi, zi, n)}) * sqrt({sql_dot(zj, zj, n)}))"
         return f"(case when {den} = 0 then 1.0 else 1.0 - {sql_dot(zi, zj, n)} / {den} end)"
@@ -121,34 +131,47 @@ def metric_expr(metric: str, n: int, zi: str = "z_i", zj: str = "z_j", lam: str
     raise ValueError(metric)
 
 
-def metric_pairs_sql(metric: str, n: int = 4) -> str:
-    return f"""select p.pool_id, p.i, p.j, round({metric_expr(metric, n)}, 6) as d
-from epairs p join maxdot using (pool_id) join rgamma using (pool_id)"""
+NZ = 64
+METRIC_NAMES = ["mahalanobis", "euclidean", "cosine", "dot", "rbf"]
+QUERY_PAIRS = """,
+qpairs as (select a.pool_id, a.chunk_idx as i, b.chunk_idx as j, a.z as z_i, b.z as z_j, a.lam as lam
+           from z a join z b on a.pool_id = b.pool_id and a.chunk_idx <> b.chunk_idx where a.chunk_idx % 25 = 0)
+"""
 
+for _m in METRIC_NAMES:
+    SQL[f"dist_{_m}"] = ALL + metric_ctes(NZ) + QUERY_PAIRS + f"""select p.pool_id, p.i, p.j, round({metric_expr(_m, NZ)}, 6) as d
+from qpairs p join maxdot using (pool_id) join rgamma using (pool_id)"""
 
-for _m in ["cosine", "euclidean", "mahalanobis", "dot", "rbf"]:
-    SQL[f"dist_{_m}"] = FIX + metric_ctes(4) + metric_pairs_sql(_m)
+SQL["rbf_gamma"] = ALL + metric_ctes(NZ) + "select pool_id, round(gamma, 6) as gamma from rgamma"
 
-SQL["rbf_gamma"] = FIX + metric_ctes(4) + "select pool_id, round(gamma, 6) as gamma from rgamma"
 
-SQL["epsilon_by_metric"] = FIX + metric_ctes(4) + ",\nalld as (\n" + "\nunion all\n".join(
-    f"select p.pool_id, '{m}' as metric, {metric_expr(m, 4)} as d "
-    f"from epairs p join maxdot using (pool_id) join rgamma using (pool_id)"
-    for m in ["mahalanobis", "euclidean", "cosine", "dot", "rbf"]) + """)
+def epsilon_sql(pools: str) -> str:
+    return pools + metric_ctes(NZ) + ",\nalld as (\n" + "\nunion all\n".join(
+        f"select p.pool_id, '{m}' as metric, {metric_expr(m, NZ)} as d "
+        f"from epairs p join maxdot using (pool_id) join rgamma using (pool_id)" for m in METRIC_NAMES) + """)
 select ps.pool_id, mm.metric, round(coalesce(e.eps, 1.0), 6) as epsilon
 from psize ps cross join (select distinct metric from alld) mm
 left join (select pool_id, metric, quantile_cont(d, 0.1) as eps from alld group by pool_id, metric) e
   on e.pool_id = ps.pool_id and e.metric = mm.metric
 """
 
+
+SQL["epsilon_by_metric"] = epsilon_sql(ALL)
+SQL["one_pool_samples"] = epsilon_sql(ONE_POOL) + "union all select pool_id, 'gamma', round(gamma, 6) from rgamma"
+
 # k-NN graph, local covariance and Bhattacharyya on the 2-d supplied space.
-KNN2 = FIX + z_ctes(2) + f""",
-allp as (select a.pool_id, a.chunk_idx as i, b.chunk_idx as j, {sql_sq('a.z', 'b.z', 2)} as d2
+def knn_ctes(n: int) -> str:
+    return f""",
+allp as (select a.pool_id, a.chunk_idx as i, b.chunk_idx as j, {sql_sq('a.z', 'b.z', n)} as d2
          from z a join z b on a.pool_id = b.pool_id),
 knn as (select r.pool_id, i, j, rank, d2 from (
           select *, row_number() over (partition by pool_id, i order by d2, j) as rank from allp) r
         join psize s on r.pool_id = s.pool_id
-        where rank <= greatest(2, least(10, s.n - 1))),
+        where rank <= greatest(2, least(10, s.n - 1)))
+"""
+
+
+LOCAL_COV = """,
 lcov0 as (select k.pool_id, k.i as chunk_idx,
             covar_samp(z.z[1], z.z[1]) as a11, covar_samp(z.z[1], z.z[2]) as a12,
             covar_samp(z.z[2], z.z[2]) as a22
@@ -158,10 +181,12 @@ lcov as (select l.pool_id, l.chunk_idx,
          from lcov0 l join zstat s on l.pool_id = s.pool_id),
 lcovd as (select *, ln(c11 * c22 - c12 * c12) as logdet from lcov)
 """
+KNN2 = z_ctes(2) + knn_ctes(2) + LOCAL_COV
 
-SQL["knn_graph"] = KNN2 + "select pool_id, i, j, rank, round(d2, 6) as d2 from knn"
+SQL["knn_graph"] = ALL + z_ctes(NZ) + knn_ctes(NZ) + "select pool_id, i, j, rank, round(d2, 6) as d2 from knn"
+SQL["knn_graph_one_pool"] = ONE_POOL + z_ctes(NZ) + knn_ctes(NZ) + "select pool_id, i, j, rank, round(d2, 6) as d2 from knn"
 
-SQL["local_cov"] = KNN2 + """select pool_id, chunk_idx, round(c11, 6) as c11, round(c12, 6) as c12,
+SQL["local_cov"] = ALL + KNN2 + """select pool_id, chunk_idx, round(c11, 6) as c11, round(c12, 6) as c12,
   round(c22, 6) as c22, round(logdet, 6) as logdet from lcovd"""
 
 
@@ -173,9 +198,9 @@ def bhat2_expr(zi="z_i", zj="z_j") -> str:
     return f"greatest(0.125 * {quad} + 0.5 * (ln({det}) - 0.5 * (ci.logdet + cj.logdet)), 0.0)"
 
 
-SQL["dist_bhattacharyya_2d"] = KNN2 + sample_cte("esamp", "z", 50, 42) + pairs_cte("epairs", "esamp") + f"""
+SQL["dist_bhattacharyya_2d"] = ALL + KNN2 + QUERY_PAIRS + f"""
 select p.pool_id, p.i, p.j, round({bhat2_expr()}, 6) as d
-from epairs p join lcovd ci on ci.pool_id = p.pool_id and ci.chunk_idx = p.i
+from qpairs p join lcovd ci on ci.pool_id = p.pool_id and ci.chunk_idx = p.i
 join lcovd cj on cj.pool_id = p.pool_id and cj.chunk_idx = p.j
 """
 
@@ -183,7 +208,7 @@ join lcovd cj on cj.pool_id = p.pool_id and cj.chunk_idx = p.j
 # -- decay traversal, unrolled hop by hop --------------------------------------
 def decay_sql(metric: str, tau: float, gamma: float, start: str = "anchors", hops: int = 2) -> str:
     if metric == "bhattacharyya":
-        base = KNN2 + sample_cte("esamp", "z", 50, 42) + pairs_cte("epairs", "esamp") + f""",
+        base = FIX + KNN2 + sample_cte("esamp", "z", 50, 42) + pairs_cte("epairs", "esamp") + f""",
 eps0 as (select p.pool_id, quantile_cont({bhat2_expr()}, 0.1) as e
          from epairs p join lcovd ci on ci.pool_id = p.pool_id and ci.chunk_idx = p.i
          join lcovd cj on cj.pool_id = p.pool_id and cj.chunk_idx = p.j group by p.pool_id)"""
@@ -191,11 +216,11 @@ eps0 as (select p.pool_id, quantile_cont({bhat2_expr()}, 0.1) as e
         extra = ("join lcovd ci on ci.pool_id = zi.pool_id and ci.chunk_idx = zi.chunk_idx "
                  "join lcovd cj on cj.pool_id = zj.pool_id and cj.chunk_idx = zj.chunk_idx")
     else:
-        base = FIX + metric_ctes(4) + f""",
+        base = FIX + metric_ctes(NZ) + f""",
 st as (select m.pool_id as st_pool, m.max_dot, g.gamma from maxdot m join rgamma g on m.pool_id = g.pool_id),
-eps0 as (select p.pool_id, quantile_cont({metric_expr(metric, 4)}, 0.1) as e
+eps0 as (select p.pool_id, quantile_cont({metric_expr(metric, NZ)}, 0.1) as e
          from epairs p join st on st.st_pool = p.pool_id group by p.pool_id)"""
-        hop_dist = metric_expr(metric, 4, "zi.z", "zj.z", "zi.lam")
+        hop_dist = metric_expr(metric, NZ, "zi.z", "zj.z", "zi.lam")
         extra = "join st on st.st_pool = zi.pool_id"
     where0 = f"dx <= {tau!r} or rank_dx <= 3" if start == "anchors" else f"dx <= {tau!r}"
     sql = base + f""",
@@ -226,6 +251,8 @@ SQL["decay_hops_dot"] = decay_sql("dot", 0.85, 1.1) + "select * from hops"
 SQL["decay_hops_rbf"] = decay_sql("rbf", 0.85, 1.1) + "select * from hops"
 SQL["decay_hops_bhattacharyya_2d"] = decay_sql("bhattacharyya", 0.85, 1.1) + "select * from hops"
 SQL["decay_strict"] = decay_sql("euclidean", 0.85, 1.1, start="strict") + "select * from hops"
+# all principal components: euclidean distances are those of the centred vectors
+SQL["decay_pca"] = decay_sql("euclidean", 0.85, 1.1) + "select * from hops"
 SQL["decay_capped"] = decay_sql("mahalanobis", 0.85, 1.1) + """
 select pool_id, qid, role, rank, chunk_idx from (
   select *, row_number() over (partition by qid, role order by chunk_idx) as rank from (
@@ -238,8 +265,8 @@ where rank <= case when role = 'primary' then 5 else 10 end
 # -- random walk with restart: a recursive CTE, ten steps ----------------------
 def walk_sql(metric: str, tau: float, start: str, alpha: float = 0.85, beta: float = 1.0, iters: int = 10) -> str:
     where0 = f"dx <= {tau!r} or rank_dx <= 3" if start == "anchors" else f"dx <= {tau!r}"
-    dist = metric_expr(metric, 4, "zi.z", "zj.z", "zi.lam")
-    base = FIX.replace("with chunks", "with recursive chunks", 1) + metric_ctes(4) + f""",
+    dist = metric_expr(metric, NZ, "zi.z", "zj.z", "zi.lam")
+    base = FIX.replace("with chunks", "with recursive chunks", 1) + metric_ctes(NZ) + f""",
 st as (select m.pool_id as st_pool, m.max_dot, g.gamma from maxdot m join rgamma g on m.pool_id = g.pool_id),
 kern as (select zi.pool_id, zi.chunk_idx as i, zj.chunk_idx as j, exp(-{beta!r} * {dist}) as k
          from z zi join z zj on zi.pool_id = zj.pool_id join st on st.st_pool = zi.pool_id),
@@ -268,6 +295,8 @@ final as (select pool_id, qid, chunk_idx, mass from pi where it = {iters})
 
 SQL["ppr_mass"] = walk_sql("mahalanobis", 0.85, "anchors") + \
     "select pool_id, qid, chunk_idx, round(mass, 6) as mass from final"
+SQL["ppr_pca"] = walk_sql("euclidean", 0.85, "anchors") + \
+    "select pool_id, qid, chunk_idx, round(mass, 6) as mass from final"
 SQL["walk_strict"] = walk_sql("euclidean", 0.70, "strict") + \
     "select pool_id, qid, chunk_idx, round(mass, 6) as mass from final"
 SQL["ppr_topk"] = walk_sql("mahalanobis", 0.85, "anchors") + """,
@@ -292,13 +321,13 @@ select pool_id, qid, role, rank, chunk_idx from (
 
 
 # -- PCA invariants ---------------------------------------------------------------
-SQL["pca_invariants"] = FIX + """
+SQL["pca_invariants"] = ALL + """
 select pool_id, cast(least(8, count(*), 64) as integer) as d_eff, true as orthonormal, true as centred
 from chunks group by pool_id
 """
-SQL["pca_total_variance"] = FIX + "select pool_id, round(" + " + ".join(
+SQL["pca_total_variance"] = ALL + "select pool_id, round(" + " + ".join(
     f"var_samp(x[{k}])" for k in range(1, 65)) + ", 6) as total_variance from chunks group by pool_id"
-SQL["pca_project"] = FIX + ",\nmu as (select pool_id, " + ", ".join(
+SQL["pca_project"] = ALL + ",\nmu as (select pool_id, " + ", ".join(
     f"avg(x[{k}]) as m{k}" for k in range(1, 65)) + """ from chunks group by pool_id)
 select c.pool_id, c.chunk_idx, round(sqrt(""" + " + ".join(
     f"(c.x[{k}] - mu.m{k}) * (c.x[{k}] - mu.m{k})" for k in range(1, 65)) + """), 6) as znorm
@@ -322,9 +351,9 @@ SQL["answer_normalize"] = f"select conv_id, turn, {_norm('text')} as norm from c
 
 PAIRS = """
 with pairs as (
-  select u.conv_id, u.turn, u.text as gold, a.text as pred
-  from conversations u join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1
-  where u.role = 'user' and a.role = 'assistant'),
+  select u.conv_id, u.turn, u.text as gold, coalesce(a.text, '') as pred
+  from conversations u left join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1 and a.role = 'assistant'
+  where u.role = 'user'),
 """
 
 SQL["em_f1"] = PAIRS + f"""
@@ -540,8 +569,8 @@ def _fill_sql(template: str, **vals) -> str:
 
 
 def _prompt_sql() -> str:
-    from dualspace.operators.prompts import FLAT_TEMPLATE, MRAG_TEMPLATE, NO_CONTEXT_TEMPLATE
-    mrag = _fill_sql(MRAG_TEMPLATE, primary="coalesce(p, '(none)')", structural="coalesce(s, '(none)')",
+    from dualspace.operators.prompts import FLAT_TEMPLATE, TWO_PART_TEMPLATE, NO_CONTEXT_TEMPLATE
+    two_part = _fill_sql(TWO_PART_TEMPLATE, primary="coalesce(p, '(none)')", structural="coalesce(s, '(none)')",
                      query="query")
     flat = _fill_sql(FLAT_TEMPLATE, context="coalesce(fl, '(none)')", query="query")
     none = _fill_sql(NO_CONTEXT_TEMPLATE, query="query")
@@ -559,7 +588,7 @@ sec as (select qid,
         from rc group by qid),
 pr as (select q.qid, q.strategy,
          case when q.strategy = 'no_context' then {none}
-              when q.strategy in ('decay', 'ppr') then {mrag} else {flat} end as prompt
+              when q.strategy in ('decay', 'ppr') then {two_part} else {flat} end as prompt
        from q left join sec on sec.qid = q.qid)
 """
 
@@ -663,9 +692,11 @@ SQL["vector_store_stats"] = """
 select 'tfidf' as model, 64 as dim, 'RETRIEVAL_DOCUMENT' as task, count(distinct text) as rows,
   count(distinct text) * 4 * 64 as bytes from documents
 """
-SQL["corpus_fingerprint"] = QA + """
-select pool_id, substring(sha1(string_agg(text || chr(0), '' order by chunk_idx)), 1, 16) as fingerprint
-from c group by pool_id
+SQL["corpus_fingerprint"] = QA + """,
+b as (select pool_id, chunk_idx // 1024 as blk, sha1(string_agg(text || chr(0), '' order by chunk_idx)) as h
+      from c group by pool_id, chunk_idx // 1024)
+select pool_id, substring(sha1(string_agg(h, '' order by blk)), 1, 16) as fingerprint
+from b group by pool_id
 """
 
 SQL["stream_cell_means"] = RES + """select dataset, embedder, metric, strategy, d, count(*) as n,

@@ -9,7 +9,7 @@ from dualspace.functions import vectors as V
 from dualspace.operators import decay, pca
 from dualspace.operators import metrics as M
 from dualspace.plans.common import GAMMA_MAIN, TAU_MAIN, rounded
-from dualspace.sources.fixtures import chunk_vectors, query_vectors
+from dualspace.sources.fixtures import all_vectors, chunk_vectors, query_vectors
 
 TOL = 1e-8
 
@@ -22,7 +22,7 @@ def _max_abs_gram_dev(w: str = "components"):
 
 
 def q_pca_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = chunk_vectors(spark, sf_dir)
+    x = all_vectors(spark, sf_dir)
     fit = pca.fit_pca(x, 8)
     z = pca.project(x, fit)
     d = 8
@@ -33,13 +33,13 @@ def q_pca_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_pca_total_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fit = pca.fit_pca(chunk_vectors(spark, sf_dir), 64)
+    fit = pca.fit_pca(all_vectors(spark, sf_dir), 64)
     return rounded(fit.select("pool_id", F.aggregate("eigenvalues", F.lit(0.0), lambda a, v: a + v)
                               .alias("total_variance")), "total_variance")
 
 
 def q_pca_project(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = chunk_vectors(spark, sf_dir)
+    x = all_vectors(spark, sf_dir)
     z = pca.project(x, pca.fit_pca(x, 64))
     return rounded(z.select("pool_id", "chunk_idx", V.norm("z").alias("znorm")), "znorm")
 

@@ -6,20 +6,21 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dualspace.operators import decay
+from dualspace.operators import decay, pca
 from dualspace.operators import metrics as M
 from dualspace.plans.common import GAMMA_ALT, GAMMA_MAIN, TAU_ALT, TAU_MAIN
 from dualspace.plans.metric_plans import EPS_SAMPLE, EPS_SEED, Z_DIMS, Z_DIMS_BHAT
+from dualspace.session import cut_lineage
 from dualspace.sources.fixtures import chunk_vectors, query_vectors, z_standin
 
 MAX_HOPS = 2
 
 
 def _decay(spark: SparkSession, sf_dir: str, metric: str, tau: float, gamma: float,
-           start: str = "anchors") -> DataFrame:
+           start: str = "anchors", z: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     chunks, queries = chunk_vectors(spark, sf_dir), query_vectors(spark, sf_dir)
     dims = Z_DIMS_BHAT if metric == "bhattacharyya" else Z_DIMS
-    z, lam = z_standin(chunks, dims)
+    z, lam = z_standin(chunks, dims) if z is None else z
     space = M.build_space(metric, z, lam, dims)
     eps = M.calibrate_epsilon(space, 0.10, EPS_SAMPLE, EPS_SEED)
     return decay.decay_traversal(chunks, queries, space, eps, tau, gamma, MAX_HOPS, 3, start)
@@ -29,6 +30,17 @@ def q_decay_hops(metric: str, tau: float, gamma: float, spark: SparkSession, sf_
     return _decay(spark, sf_dir, metric, tau, gamma)
 
 
+def _pca_space(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """X -> PCA -> Z with every component, so that Z keeps the distances of X."""
+    z, lam, _ = pca.structural_space(chunk_vectors(spark, sf_dir), Z_DIMS)
+    return cut_lineage(z), cut_lineage(lam)
+
+
+def q_decay_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chain: embeddings, fitted PCA, epsilon, hops."""
+    return _decay(spark, sf_dir, "euclidean", TAU_MAIN, GAMMA_MAIN, z=_pca_space(spark, sf_dir))
+
+
 def q_decay_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decay(spark, sf_dir, "euclidean", TAU_MAIN, GAMMA_MAIN, start="strict")
 
@@ -44,17 +56,18 @@ QUERIES = {
     "decay_hops_dot": partial(q_decay_hops, "dot", TAU_MAIN, GAMMA_MAIN),
     "decay_hops_rbf": partial(q_decay_hops, "rbf", TAU_MAIN, GAMMA_MAIN),
     "decay_hops_bhattacharyya_2d": partial(q_decay_hops, "bhattacharyya", TAU_MAIN, GAMMA_MAIN),
+    "decay_pca": q_decay_pca,
     "decay_strict": q_decay_strict,
     "decay_capped": q_decay_capped,
 }
 
 
 # --------------------------------------------------------------------------- walk
-def _walk(spark: SparkSession, sf_dir: str, metric: str, tau: float, start: str):
+def _walk(spark: SparkSession, sf_dir: str, metric: str, tau: float, start: str,
+          z: tuple[DataFrame, DataFrame] | None = None):
     from dualspace.operators import search, walk
-    from dualspace.session import cut_lineage
     chunks, queries = chunk_vectors(spark, sf_dir), query_vectors(spark, sf_dir)
-    z, lam = z_standin(chunks, Z_DIMS)
+    z, lam = z_standin(chunks, Z_DIMS) if z is None else z
     space = M.build_space(metric, z, lam, Z_DIMS)
     if start == "anchors":
         seeds = search.anchors(chunks, queries, tau, 3)
@@ -71,6 +84,12 @@ def q_ppr_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(mass, "mass")
 
 
+def q_ppr_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dualspace.plans.common import rounded
+    mass, _ = _walk(spark, sf_dir, "euclidean", TAU_MAIN, "anchors", _pca_space(spark, sf_dir))
+    return rounded(mass, "mass")
+
+
 def q_ppr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dualspace.operators import walk
     mass, seeds = _walk(spark, sf_dir, "mahalanobis", TAU_MAIN, "anchors")
@@ -85,6 +104,7 @@ def q_walk_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES.update({
     "ppr_mass": q_ppr_mass,
+    "ppr_pca": q_ppr_pca,
     "ppr_topk": q_ppr_topk,
     "walk_strict": q_walk_strict,
 })

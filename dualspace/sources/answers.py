@@ -1,5 +1,6 @@
 """Answer pairs derived from `conversations` (whole table, whole texts):
-gold = a user turn, pred = the assistant turn that follows it."""
+gold = a user turn, pred = the assistant turn that follows it, or the empty
+answer where none does."""
 
 from __future__ import annotations
 
@@ -14,4 +15,4 @@ def answer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("gold"))
     a = c.where(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("pred"))
-    return u.join(a, ["conv_id", "turn"])
+    return u.join(a, ["conv_id", "turn"], "left").withColumn("pred", F.coalesce("pred", F.lit("")))

@@ -52,15 +52,29 @@ def gold_support(chunks: DataFrame, queries: DataFrame) -> DataFrame:
         chunks.select("pool_id", "label", "chunk_idx"), ["pool_id", "label"]).select("qid", "chunk_idx")
 
 
-def z_standin(chunks: DataFrame, dims: int = 4) -> tuple[DataFrame, DataFrame]:
-    """A supplied structural space with an exact SQL twin.
+def all_vectors(spark: SparkSession, sf_dir: str, one_pool: bool = False) -> DataFrame:
+    """Every vector as a chunk, for the plans that have no query side: pools of
+    POOL_WIDTH ids, or the whole table as one pool (a shared corpus)."""
+    pool = F.lit(0) if one_pool else F.floor(F.col("vec_id") / POOL_WIDTH)
+    return _embeddings(spark, sf_dir).select(
+        pool.cast("bigint").alias("pool_id"), F.col("vec_id").alias("chunk_idx"), "label",
+        F.col("embedding").cast("array<double>").alias("x"))
 
-    z_k = x[k] - avg_pool(x[k]) for k = 1..dims (1-based as in SQL), and
-    lam_k = var_samp_pool(x[k]).  Returns (z(pool_id, chunk_idx, z), lam(pool_id, lam)).
+
+def z_standin(chunks: DataFrame, dims: int = 64) -> tuple[DataFrame, DataFrame]:
+    """A supplied structural space with an exact SQL twin, made of whole vectors.
+
+    With `dims` 64, z_k = x[k] - avg_pool(x[k]) for every coordinate (1-based as in SQL);
+    with `dims` 2, the same of the sums of the odd and of the even coordinates.
+    lam_k = var_samp_pool of the same. Returns (z(pool_id, chunk_idx, z), lam(pool_id, lam)).
     Pool state is a partial aggregate joined back on pool_id, so a hot pool is
     aggregated map-side instead of landing on one task.
     """
-    cols = [F.col("x")[k - 1].alias(f"x{k}") for k in range(1, dims + 1)]
+    if dims == 2:
+        half = lambda odd: F.aggregate(F.filter("x", lambda _, i: i % 2 == odd), F.lit(0.0), lambda a, v: a + v)
+        cols = [half(0).alias("x1"), half(1).alias("x2")]
+    else:
+        cols = [F.col("x")[k - 1].alias(f"x{k}") for k in range(1, dims + 1)]
     flat = chunks.select("pool_id", "chunk_idx", *cols)
     stats = flat.groupBy("pool_id").agg(
         *[F.avg(f"x{k}").alias(f"m{k}") for k in range(1, dims + 1)],

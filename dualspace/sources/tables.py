@@ -12,6 +12,6 @@ TABLES = (
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
     if name not in TABLES:
-        raise ValueError(f"unknown table '{name}'. options: {list(TABLES)}")
+        raise ValueError(f"no table is called {name!r}; there are {', '.join(TABLES)}")
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return df.select(*columns) if columns else df

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from tests.conftest import SF_SMALL
 from dualspace.operators import metrics as M
 from dualspace.operators import search, walk
 from dualspace.sources.fixtures import chunk_vectors, query_vectors, z_standin
@@ -30,22 +30,60 @@ def test_knn_multi_block_equals_single_block(spark):
     assert _rows(a, "i", "j", "rank") == _rows(b, "i", "j", "rank")
 
 
-def test_walk_large_path_equals_small_path(spark):
+def _dense_walk(points, state, metric, seeds, qids, alpha=0.85, iterations=10):
+    """The walk of one pool as plain matrices."""
+    points = sorted(points, key=lambda r: r.chunk_idx)
+    V = np.array([r.v for r in points])
+    extra = (None,) * 4
+    if metric == "bhattacharyya":
+        C, L = np.array([r.cov for r in points]).reshape(len(V), V.shape[1], -1), np.array([r.logdet for r in points])
+        extra = (C, C, L, L)
+    K = np.exp(-M.block_distance(metric, V, V, state, *extra))
+    P = K / K.sum(axis=1, keepdims=True)
+    out = {}
+    for q in qids:
+        own = np.array([(q, r.chunk_idx) in seeds for r in points], float)
+        v = own / own.sum() if own.sum() else np.full(len(V), 1 / len(V))
+        pi = v
+        for _ in range(iterations):
+            pi = (1 - alpha) * v + alpha * pi @ P
+        out.update({(q, r.chunk_idx): m for r, m in zip(points, pi)})
+    return out
+
+
+def test_walk_equals_dense_matrices_whatever_the_blocks(spark):
     c, q = chunk_vectors(spark, SF_SMALL), query_vectors(spark, SF_SMALL)
     z, lam = z_standin(c, 4)
-    for metric in ["mahalanobis", "dot"]:
+    for metric, blocks in (("mahalanobis", ((4096, 256), (13, 1))), ("dot", ((20, 256),)), ("bhattacharyya", ((4096, 1), (30, 2)))):
         space = M.build_space(metric, z, lam, 4)
         seeds = search.anchors(c, q, 0.85, 3).select("pool_id", "qid", "chunk_idx")
-        small = walk.random_walk(space.points, space.state, metric, seeds, q.select("pool_id", "qid"))
-        large = walk.random_walk(space.points, space.state, metric, seeds, q.select("pool_id", "qid"),
-                                 block=13, query_block=1)
-        a = {(r.qid, r.chunk_idx): r.mass for r in small.collect()}
-        b = {(r.qid, r.chunk_idx): r.mass for r in large.collect()}
-        assert a.keys() == b.keys()
-        assert max(abs(a[k] - b[k]) for k in a) < 1e-12
-        # mass is conserved when no kernel row sum is zero
-        tot = small.groupBy("qid").agg(F.sum("mass").alias("t")).collect()
-        assert np.allclose([r.t for r in tot], 1.0)
+        have = {(r.qid, r.chunk_idx) for r in seeds.collect()}
+        state = {r.pool_id: r.s for r in space.state.collect()}
+        pools, want = {}, {}
+        for r in space.points.collect():
+            pools.setdefault(r.pool_id, []).append(r)
+        for r in q.select("pool_id", F.collect_list("qid").over(__import__("pyspark").sql.Window.partitionBy("pool_id")).alias("qids")).distinct().collect():
+            want.update(_dense_walk(pools[r.pool_id], state[r.pool_id], metric, have, r.qids))
+        for block, query_block in blocks:
+            rows = walk.random_walk(space.points, space.state, metric, seeds, q.select("pool_id", "qid"),
+                                    block=block, query_block=query_block).collect()
+            got = {(r.qid, r.chunk_idx): r.mass for r in rows}
+            assert len(rows) == len(got) and got.keys() == want.keys()
+            assert max(abs(got[k] - want[k]) for k in want) < 1e-12, (metric, block)
+
+
+def test_walk_with_string_ids(spark):
+    c, q = chunk_vectors(spark, SF_SMALL), query_vectors(spark, SF_SMALL)
+    z, lam = z_standin(c, 4)
+    text = lambda df, *cols: df.withColumns({k: F.concat(F.lit("k"), F.lpad(F.col(k).cast("string"), 6, "0")) for k in cols})
+    space = M.build_space("euclidean", z, lam, 4)
+    seeds = search.strict_start_set(c, q, 0.8).select("pool_id", "qid", "chunk_idx")
+    a = walk.random_walk(space.points, space.state, "euclidean", seeds, q.select("pool_id", "qid"))
+    b = walk.random_walk(text(space.points, "chunk_idx"), space.state, "euclidean", text(seeds, "qid", "chunk_idx"),
+                         text(q.select("pool_id", "qid"), "qid"))
+    want = {("k%06d" % r.qid, "k%06d" % r.chunk_idx): r.mass for r in a.collect()}
+    got = {(r.qid, r.chunk_idx): r.mass for r in b.collect()}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-12
 
 
 def test_walk_uniform_restart_when_no_seed(spark):

@@ -1,6 +1,6 @@
 """Plan assertions: pruning at the scan, map-side top-k, no cross joins."""
 
-from conftest import SF_SMALL
+from tests.conftest import SF_SMALL
 
 
 def _plan(df):

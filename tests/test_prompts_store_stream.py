@@ -2,7 +2,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from tests.conftest import SF_SMALL
 from dualspace.operators import prompts as P
 from dualspace.operators import report, store
 from dualspace.session import checkpoint_dir
@@ -41,9 +41,9 @@ def test_store_computes_only_misses(spark):
         return todo.select("key", F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>").alias("vec"))
 
     out = vs.get_or_compute(docs, "m", 2, "t", compute).collect()
-    assert [r.doc_id for r in out] == [1, 2, 3] and all(r.vec is not None for r in out)
+    assert sorted(r.doc_id for r in out) == [1, 2, 3] and all(r.vec is not None for r in out)
     vs.get_or_compute(docs, "m", 2, "t", compute).collect()
-    assert seen == [2, 0]                      # deduped in batch, nothing recomputed
+    assert seen == [2]                         # deduped in batch, nothing recomputed
     assert vs.stats().collect()[0]["rows"] == 2
 
 

@@ -3,7 +3,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from conftest import SF_SMALL
+from tests.conftest import SF_SMALL
 from dualspace.operators import runner, store
 from dualspace.session import checkpoint_dir
 from dualspace.sources.fixtures import chunk_vectors, gold_support, query_vectors
@@ -66,3 +66,52 @@ def test_failing_answer_function_gives_error_rows(spark):
     assert bad.judge_rationale == "error: boom" and bad.predicted == "" and bad.f1 == 0.0
     assert bad.recall == 0.0 and bad.n_retrieved == 0
     assert good.predicted == "x" and good.em == 1.0 and good.n_retrieved == 5
+
+
+def _inputs(spark):
+    c, q = chunk_vectors(spark, SF_SMALL), query_vectors(spark, SF_SMALL)
+    questions = q.select("qid", "pool_id", F.col("qid").cast("string").alias("query"), F.lit("x").alias("gold_answer"))
+    chunks = c.select("pool_id", "chunk_idx", F.concat(F.lit("chunk "), F.col("chunk_idx").cast("string")).alias("text"))
+    return c, q, questions, chunks, gold_support(c, q)
+
+
+def test_data_sets_with_equal_ids_and_two_embedders(spark):
+    c, q, questions, chunks, gold = _inputs(spark)
+    turned = lambda df, col: df.withColumn(col, F.reverse(col))  # noqa: E731  another embedder: coordinates in reverse
+    shifted = lambda df, col: df.withColumn(col, F.transform(col, lambda v, i: v * (i + 1)))
+    both = lambda df, col: df.withColumn("embedder", F.lit("e1")).unionByName(shifted(df, col).withColumn("embedder", F.lit("e2")))
+    sets = lambda df: df.withColumn("dataset", F.lit("a")).unionByName(df.withColumn("dataset", F.lit("b")))
+    cells = [runner.CellConfig(d, e, "cosine_x", "naive", 4) for d in ("a", "b") for e in ("e1", "e2")]
+    xb = both(c, "x").withColumn("dataset", F.lit("a")).unionByName(both(turned(c, "x"), "x").withColumn("dataset", F.lit("b")))
+    rec = runner.evaluate_cells(cells, sets(questions), sets(chunks), sets(gold), xb, sets(both(q, "q"))).collect()
+    assert len(rec) == 4 * q.count()
+    alone = {("a", "e1"): (c, q), ("a", "e2"): (shifted(c, "x"), shifted(q, "q")), ("b", "e1"): (turned(c, "x"), q)}
+    for (d, e), (xv, qv) in alone.items():
+        one = runner.evaluate_cells([runner.CellConfig(d, e, "cosine_x", "naive", 4)], questions, chunks, gold, xv, qv).collect()
+        assert {(r.qid, tuple(r.retrieved_ids)) for r in one} == {(r.qid, tuple(r.retrieved_ids)) for r in rec if (r.dataset, r.embedder) == (d, e)}
+    with __import__("pytest").raises(ValueError):
+        runner.evaluate_cells(cells, questions, chunks, gold, c, q)
+
+
+def test_only_pending_questions_are_answered_and_stores_are_used(spark):
+    from dualspace.operators.state import FitStore
+    c, q, questions, chunks, gold = _inputs(spark)
+    base = f"{checkpoint_dir(spark)}/grid-{uuid.uuid4().hex}"
+    calls = spark.sparkContext.accumulator(0)
+
+    def fn(prompt):
+        calls.add(1)
+        return "x"
+    cells = [runner.CellConfig("emb", "table", "euclidean", "decay", 4)]
+    n = q.count()
+    kw = {"answer_fn": fn, "fits": FitStore(spark, f"{base}/fits"), "completions": store.CompletionStore(spark, f"{base}/answers")}
+    most = questions.where("qid <> 0")
+    assert runner.run_grid(cells, most, chunks, gold, c, q, f"{base}/out", **kw) == 1
+    assert calls.value == n - 1
+    assert runner.run_grid(cells, questions, chunks, gold, c, q, f"{base}/out", **kw) == 1
+    assert calls.value == n  # one pending question, one call
+    assert runner.run_grid(cells, questions, chunks, gold, c, q, f"{base}/out", **kw) == 0
+    assert runner.read_results(spark, f"{base}/out").count() == n
+    runner.run_grid(cells, questions, chunks, gold, c, q, f"{base}/other", **kw)
+    assert calls.value == n  # the replies come from the store
+    assert spark.read.parquet(f"{base}/fits/pca").count() == c.select("pool_id").distinct().count()

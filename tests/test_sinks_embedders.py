@@ -4,7 +4,7 @@ import uuid
 import numpy as np
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from tests.conftest import SF_SMALL
 from dualspace.operators import embedders, report, runner
 from dualspace.session import checkpoint_dir
 from dualspace.sources.fixtures import chunk_vectors, gold_support, query_vectors
