@@ -124,9 +124,11 @@ def mix(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, block_rows: int =
         (p["slot0"] + F.expr("_ds_j div _ds_span.weight") * p["total"] + turn).alias("slot"), "offset")
 
 
-def mixed_order(docs: DataFrame, **options) -> DataFrame:
-    """The rows and columns of `docs`, range-partitioned and sorted in the order of the mix."""
-    return mix(docs, **options).orderBy("slot", "offset").select(*docs.columns)
+def mixed_order(docs: DataFrame, key: str = "doc_id", source: str = "source", **options) -> DataFrame:
+    """The rows and columns of `docs`, whatever their names, range-partitioned and sorted in the order of the mix."""
+    inner = {c: f"_in{i}" for i, c in enumerate(docs.columns)}
+    mixed = mix(docs.toDF(*inner.values()), key=inner[key], source=inner[source], **options).orderBy("slot", "offset")
+    return mixed.select(*[F.col(i).alias(c) for c, i in inner.items()])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,6 +59,13 @@ def test_mix_equals_a_slot_by_slot_simulation(spark, docs, corpus, weights):
 def test_order_columns_and_empty_table(spark, docs, empty):
     out = M.mixed_order(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
+    clash = docs.withColumn("slot", F.col("doc_id") + 7).withColumn("offset", F.lit("o"))
+    out = M.mixed_order(clash)
+    assert out.dtypes == clash.dtypes
+    assert sorted(map(str, out.collect())) == sorted(map(str, clash.collect()))
+    places = {r["doc_id"]: (r["slot"], r["offset"]) for r in M.mix(docs).where("doc_id <> 205").collect()}
+    order = [places[r["doc_id"]] for r in out.collect() if r["doc_id"] in places]
+    assert order == sorted(order)
     assert M.mix(empty).count() == 0
     nulls = spark.createDataFrame([(None, None), (None, "src0"), (-5, "src0")], "doc_id long, source string")
     assert M.mix(nulls).count() == 3
