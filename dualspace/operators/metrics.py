@@ -39,7 +39,11 @@ RBF_FLOOR = 1e-8
 BHAT_K = 10               # neighbours per local Gaussian
 
 
-def canonical(name: str) -> str:
+def canonical(name):
+    """The metric's own name; a callable (a user's distance, U2) stays what it is:
+    fn(A, B), rows against rows, gives the matrix of their distances."""
+    if callable(name):
+        return name
     n = name.lower()
     n = ALIASES.get(n, n)
     if n not in METRICS:
@@ -219,10 +223,12 @@ def sq_dists(A: np.ndarray, B: np.ndarray, cells: int = 4_000_000) -> np.ndarray
 # --------------------------------------------------------------------------- spaces
 
 
-def build_space(metric: str, z: DataFrame, lam: DataFrame, dim: int | None = None) -> MetricSpace:
+def build_space(metric, z: DataFrame, lam: DataFrame, dim: int | None = None) -> MetricSpace:
     """Per-pool state for `metric` over z(pool_id, chunk_idx, z) and lam(pool_id, lam)."""
     m = canonical(metric)
     zero_state = z.select("pool_id").distinct().withColumn("s", F.lit(0.0))
+    if callable(m):
+        return MetricSpace(m, z.select("pool_id", "chunk_idx", F.col("z").alias("v")), zero_state, dim)
     if m == "mahalanobis":
         pts = z.join(lam, "pool_id").select("pool_id", "chunk_idx", V.whiten("z", "lam", INV_COV_RIDGE).alias("v"))
         return MetricSpace(m, pts, zero_state, dim)
@@ -240,9 +246,19 @@ def build_space(metric: str, z: DataFrame, lam: DataFrame, dim: int | None = Non
     return MetricSpace(m, pts, zero_state, dim)
 
 
-def pair_distance(metric: str, vi="v_i", vj="v_j", s="s", extra: tuple | None = None) -> Column:
+def _callable_udf(fn):
+    @F.pandas_udf(DoubleType())
+    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([float(fn(np.asarray(x, dtype=np.float64)[None], np.asarray(y, dtype=np.float64)[None])[0, 0])
+                          for x, y in zip(a, b)], dtype="float64")
+    return distance
+
+
+def pair_distance(metric, vi="v_i", vj="v_j", s="s", extra: tuple | None = None) -> Column:
     """Column distance between two points of a pair row."""
     m = canonical(metric)
+    if callable(m):
+        return _callable_udf(m)(F.col(vi), F.col(vj))
     if m in ("euclidean", "mahalanobis"):
         return V.euclidean(vi, vj)
     if m == "cosine":
@@ -256,14 +272,16 @@ def pair_distance(metric: str, vi="v_i", vj="v_j", s="s", extra: tuple | None =
     return bhattacharyya_udf(F.col(vi), F.col(vj), F.col(ci), F.col(cj), F.col(li), F.col(lj))
 
 
-def point_columns(metric: str) -> list[str]:
+def point_columns(metric) -> list[str]:
     return ["v", "cov", "logdet"] if canonical(metric) == "bhattacharyya" else ["v"]
 
 
-def block_distance(metric: str, Vi: np.ndarray, Vj: np.ndarray, s: float,
+def block_distance(metric, Vi: np.ndarray, Vj: np.ndarray, s: float,
                    Ci=None, Cj=None, Li=None, Lj=None) -> np.ndarray:
     """Numpy twin of `pair_distance` for a block of rows x a block of columns."""
     m = canonical(metric)
+    if callable(m):
+        return np.asarray(m(Vi, Vj), dtype=np.float64)
     if m in ("euclidean", "mahalanobis", "rbf"):
         d2 = sq_dists(Vi, Vj)
         if m == "rbf":

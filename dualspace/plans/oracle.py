@@ -6,6 +6,10 @@ division, lists are 1-based, lambdas use the `lambda x: ...` form.
 
 from __future__ import annotations
 
+from dualspace.functions.stopwords import ENGLISH
+from dualspace.plans import oracle_texts as texts
+from dualspace.plans.oracle_texts import filled
+
 # -- embedding fixture: pools, chunks, queries, gold, query x chunk distances --
 FIX = """
 with chunks as (
@@ -520,11 +524,6 @@ c as (select cast(pool as varchar) as pool_id,
 """
 SQL["qa_pools"] = QA + "select * from c"
 SQL["qa_pools_pairs"] = QA + "select * from c"
-SQL["question_sample"] = """
-select cast(p as varchar) as qid, 'question ' || cast(p as varchar) as query
-from (select distinct doc_id // 10 as p from documents)
-order by md5('42:' || cast(p as varchar)), cast(p as varchar) limit 5
-"""
 SQL["evidence_link"] = """
 with corpus as (select page_id as idx, url,
                   nullif(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '') as title from pages),
@@ -545,35 +544,33 @@ select qid, chunk_idx, row_number() over (partition by qid order by pos) as rank
 """
 
 
+SQL["shared_corpus_pool"] = SQL["evidence_link"].replace("select qid, chunk_idx, row_number()", """,
+link as (select qid, chunk_idx, row_number()""", 1).replace("as rank from f", """as rank from f)
+select link.qid, 'shared' as pool_id, 'question ' || substring(link.qid, 7) as query, coalesce(q.tb, '') as gold_answer, link.chunk_idx,
+  c.title, length(coalesce(c.title, '') || '. ' || coalesce(p.html, '')) as chars
+from link join q on q.qid = link.qid join corpus c on c.idx = link.chunk_idx join pages p on p.page_id = link.chunk_idx""", 1).replace(
+    "group by all)\n,", "group by all),", 1)
+SQL["question_sample"] = SQL["evidence_link"].replace("select qid, chunk_idx, row_number()", """,
+link as (select qid, chunk_idx, row_number()""", 1).replace("as rank from f", """as rank from f),
+pools as (select cast(doc_id // 10 as varchar) as qid, 'question ' || cast(doc_id // 10 as varchar) as query,
+            sum(case when doc_id % 10 in (0, 3) then 1 else 0 end) as n_gold from documents group by all),
+shared as (select q.qid, 'question ' || substring(q.qid, 7) as query, count(link.chunk_idx) as n_gold
+           from q left join link on link.qid = q.qid group by all),
+every as (select 'struct_of_arrays' as loader, * from pools union all select 'array_of_pairs', * from pools
+          union all select 'shared_corpus', * from shared),
+ranked as (select *, row_number() over (partition by loader order by md5('42:' || qid), qid) as r from every)
+select loader, qid, query, cast(n_gold as bigint) as n_gold from ranked where r <= 5""", 1).replace("group by all)\n,", "group by all),", 1)
+
+
 # -- prompts, stub answers, judge replies ----------------------------------------
 def _lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _fill_sql(template: str, **vals) -> str:
-    import re as _re
-    parts = _re.split(r"(\{\{|\}\}|\{[a-z_]+\})", template)
-    out = []
-    for p in parts:
-        if not p:
-            continue
-        if p == "{{":
-            out.append("'{'")
-        elif p == "}}":
-            out.append("'}'")
-        elif p.startswith("{") and p.endswith("}"):
-            out.append(vals[p[1:-1]])
-        else:
-            out.append(_lit(p).replace("\n", "' || chr(10) || '"))
-    return "(" + " || ".join(out) + ")"
-
-
 def _prompt_sql() -> str:
-    from dualspace.operators.prompts import FLAT_TEMPLATE, TWO_PART_TEMPLATE, NO_CONTEXT_TEMPLATE
-    two_part = _fill_sql(TWO_PART_TEMPLATE, primary="coalesce(p, '(none)')", structural="coalesce(s, '(none)')",
-                     query="query")
-    flat = _fill_sql(FLAT_TEMPLATE, context="coalesce(fl, '(none)')", query="query")
-    none = _fill_sql(NO_CONTEXT_TEMPLATE, query="query")
+    two_part = filled(texts.TWO_PART, primary="coalesce(p, '(none)')", structural="coalesce(s, '(none)')", query="query")
+    flat = filled(texts.FLAT, context="coalesce(fl, '(none)')", query="query")
+    none = filled(texts.ASK, query="query")
     return QA + f""",
 q as (select distinct pool_id as qid, 'question ' || pool_id as query,
         case cast(pool_id as bigint) % 3 when 0 then 'decay' when 1 then 'naive' else 'no_context' end as strategy
@@ -624,9 +621,8 @@ from v
 
 
 def _judge_keys_sql() -> str:
-    from dualspace.operators.prompts import JUDGE_TEMPLATE
     q = "('conversation ' || cast(conv_id as varchar))"
-    jp = _fill_sql(JUDGE_TEMPLATE, query=q, gold="gold", pred="pred")
+    jp = filled(texts.JUDGE, query=q, gold="gold", pred="pred")
     return PAIRS + f"""x as (select 1)
 select conv_id, turn,
   substring(sha1({q} || chr(0) || pred || chr(0) || gold || chr(0) || 'judge-model' || chr(0)), 1, 24) as key,
@@ -639,8 +635,7 @@ SQL["judge_keys"] = _judge_keys_sql()
 
 # -- TF-IDF ------------------------------------------------------------------------
 def _tfidf_ctes() -> str:
-    from dualspace.operators.tfidf import english_stop_words
-    stop = "[" + ", ".join(_lit(w) for w in english_stop_words()) + "]"
+    stop = "[" + ", ".join(_lit(w) for w in ENGLISH) + "]"
     tok = (f"list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), "
            f"lambda w: not list_contains({stop}, w))")
     return f"""

@@ -29,3 +29,14 @@ def test_queries_load_and_run_from_another_folder(tmp_path):
                          capture_output=True, text=True, timeout=300)
     assert "ROWS" in out.stdout, out.stdout[-1000:] + out.stderr[-3000:]
     assert int(out.stdout.split("ROWS")[1]) > 0
+
+
+def test_entry_works_without_the_llm_subpackage(tmp_path):
+    """Without dualspace/llm and corpus_pipeline.py the other queries are all there."""
+    import shutil
+    shutil.copytree(os.path.join(REPO, "dualspace"), tmp_path / "dualspace", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(REPO, "__spark_entry__.py"), tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); print(len(q), any(n.startswith('op') or n == 'pipeline' for n in q), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    n, llm, sql = out.stdout.split()
+    assert int(n) > 70 and llm == "False" and int(sql) > 68, out.stdout + out.stderr[-2000:]
