@@ -68,23 +68,22 @@ def max_dot(z: DataFrame) -> DataFrame:
     return z.groupBy("pool_id").agg(F.max(V.sq_norm("z")).alias("s"))
 
 
-def sample_pairs(pts: DataFrame, n: int, seed, cols: list[str]) -> DataFrame:
-    """All pairs i < j among a seeded sample of at most n points per pool.
-
-    The sample bounds the pair count at n(n-1)/2 per pool whatever the pool size."""
-    s = sample_per_pool(pts.select("pool_id", "chunk_idx", *cols), "chunk_idx", n, seed)
-    a = s.select("pool_id", F.col("chunk_idx").alias("i"), *[F.col(c).alias(f"{c}_i") for c in cols])
-    b = s.select("pool_id", F.col("chunk_idx").alias("j"), *[F.col(c).alias(f"{c}_j") for c in cols])
-    return a.join(b, "pool_id").where(F.col("i") < F.col("j"))
+def _upper(D: np.ndarray) -> np.ndarray:
+    """The entries of a square matrix above its diagonal: the pairs i < j."""
+    return D[np.triu_indices(len(D), 1)]
 
 
 def rbf_gamma(z: DataFrame, sample: int = RBF_SAMPLE, seed=RBF_SEED) -> DataFrame:
-    """D7 median heuristic: gamma = 1 / max(median positive |zi - zj|^2, 1e-8); median 1.0 if none."""
-    p = sample_pairs(z, sample, seed, ["z"]).select("pool_id", V.sq_euclidean("z_i", "z_j").alias("sq"))
-    med = p.where(F.col("sq") > 0).groupBy("pool_id").agg(F.percentile(F.col("sq"), 0.5).alias("med"))
-    pools = z.select("pool_id").distinct()
-    return pools.join(med, "pool_id", "left").select(
-        "pool_id", (F.lit(1.0) / F.greatest(F.coalesce(F.col("med"), F.lit(1.0)), F.lit(RBF_FLOOR))).alias("s"))
+    """D7 median heuristic: gamma = 1 / max(median positive |zi - zj|^2, 1e-8); median 1.0 if none.
+    A pool's group holds its sample, at most `sample` rows."""
+    s = sample_per_pool(z.select("pool_id", "chunk_idx", "z"), "chunk_idx", sample, seed)
+
+    def gamma(key, g: pd.DataFrame) -> pd.DataFrame:
+        Z = stack_vectors(g["z"])
+        sq = _upper(sq_dists(Z, Z))
+        med = float(np.median(sq[sq > 0])) if (sq > 0).any() else 1.0
+        return pd.DataFrame({"pool_id": [key[0]], "s": [1.0 / max(med, RBF_FLOOR)]})
+    return s.groupBy("pool_id").applyInPandas(gamma, f"pool_id {s.schema['pool_id'].dataType.simpleString()}, s double")
 
 
 def knn_graph(z: DataFrame, k: int = BHAT_K, block: int = DEFAULT_BLOCK) -> DataFrame:
@@ -311,15 +310,20 @@ def block_distance(metric, Vi: np.ndarray, Vj: np.ndarray, s: float,
 
 def calibrate_epsilon(space: MetricSpace, quantile: float = 0.10, sample: int = 50, seed=42) -> DataFrame:
     """epsilon = linear-interpolated `quantile` of pair distances over a seeded
-    sample of at most `sample` points per pool; 1.0 when a pool has no pair.
+    sample of at most `sample` points per pool (what a group holds); 1.0 when a pool has no pair.
     -> (pool_id, epsilon)."""
-    cols = point_columns(space.metric)
-    pairs = sample_pairs(space.points, sample, seed, cols).join(space.state, "pool_id")
-    d = pairs.select("pool_id", pair_distance(space.metric, "v_i", "v_j", "s",
-                                              ("cov_i", "cov_j", "logdet_i", "logdet_j")).alias("d"))
-    q = d.groupBy("pool_id").agg(F.percentile(F.col("d"), quantile).alias("epsilon"))
-    pools = space.points.select("pool_id").distinct()
-    return pools.join(q, "pool_id", "left").select("pool_id", F.coalesce("epsilon", F.lit(1.0)).alias("epsilon"))
+    cols, metric = point_columns(space.metric), space.metric
+    s = sample_per_pool(space.points.select("pool_id", "chunk_idx", *cols), "chunk_idx", sample, seed).join(
+        space.state.select("pool_id", "s"), "pool_id")
+
+    def epsilon(key, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("chunk_idx")
+        V = stack_vectors(g["v"])
+        C, L = ((stack_vectors(g["cov"]).reshape(len(V), V.shape[1], -1), g["logdet"].to_numpy(float))
+                if metric == "bhattacharyya" else (None, None))
+        d = _upper(block_distance(metric, V, V, float(g["s"].iloc[0]), C, C, L, L))
+        return pd.DataFrame({"pool_id": [key[0]], "epsilon": [float(np.quantile(d, quantile)) if len(d) else 1.0]})
+    return s.groupBy("pool_id").applyInPandas(epsilon, f"pool_id {s.schema['pool_id'].dataType.simpleString()}, epsilon double")
 
 
 def reference_distances(space: MetricSpace, references: DataFrame, block: int = DEFAULT_BLOCK,
@@ -358,28 +362,27 @@ __all__ = [
 
 def calibrate_epsilons(z: DataFrame, lam: DataFrame, metrics: list[str], quantile: float = 0.10,
                        sample: int = 50, seed=42) -> DataFrame:
-    """D11 for several native metrics at once (R15): one seeded sample and one
-    bounded pair set per pool, every metric evaluated on the same pairs, all
-    quantiles in one grouped aggregate. -> (pool_id, metric, epsilon)."""
+    """D11 for several native metrics at once (R15): one seeded sample per pool, every
+    metric evaluated on the same pairs. -> (pool_id, metric, epsilon)."""
     ms = [canonical(m) for m in metrics]
     if any(m not in NATIVE for m in ms):
         raise ValueError("calibrate_epsilons covers the native metrics; use calibrate_epsilon for bhattacharyya")
-    state = z.select("pool_id").distinct()
+    s = sample_per_pool(z.select("pool_id", "chunk_idx", "z"), "chunk_idx", sample, seed).join(lam, "pool_id")
     if "dot" in ms:
-        state = state.join(max_dot(z).withColumnRenamed("s", "_maxdot"), "pool_id")
+        s = s.join(max_dot(z).withColumnRenamed("s", "max_dot"), "pool_id")
     if "rbf" in ms:
-        state = state.join(rbf_gamma(z).withColumnRenamed("s", "_gamma"), "pool_id")
-    pairs = sample_pairs(z, sample, seed, ["z"]).join(lam, "pool_id").join(state, "pool_id").select(
-        "pool_id", "z_i", "z_j", V.whiten("z_i", "lam", INV_COV_RIDGE).alias("w_i"),
-        V.whiten("z_j", "lam", INV_COV_RIDGE).alias("w_j"), *[c for c in ("_maxdot", "_gamma") if c in state.columns])
-    col = {"euclidean": lambda: pair_distance("euclidean", "z_i", "z_j"),
-           "mahalanobis": lambda: pair_distance("mahalanobis", "w_i", "w_j"),
-           "cosine": lambda: pair_distance("cosine", "z_i", "z_j"),
-           "dot": lambda: pair_distance("dot", "z_i", "z_j", "_maxdot"),
-           "rbf": lambda: pair_distance("rbf", "z_i", "z_j", "_gamma")}
-    long = pairs.select("pool_id", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), col[m]().alias("d"))
-                                                       for m in ms])).alias("e")).select("pool_id", "e.*")
-    q = long.groupBy("pool_id", "metric").agg(F.percentile(F.col("d"), quantile).alias("epsilon"))
-    grid = z.select("pool_id").distinct().withColumn("metric", F.explode(F.array(*[F.lit(m) for m in ms])))
-    return grid.join(q, ["pool_id", "metric"], "left").select(
-        "pool_id", "metric", F.coalesce("epsilon", F.lit(1.0)).alias("epsilon"))
+        s = s.join(rbf_gamma(z).withColumnRenamed("s", "gamma"), "pool_id")
+
+    def epsilons(key, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("chunk_idx")
+        Z = stack_vectors(g["z"])
+        W = Z / np.sqrt(np.asarray(g["lam"].iloc[0], dtype=np.float64) + INV_COV_RIDGE)
+        out = []
+        for m in ms:
+            V = W if m == "mahalanobis" else Z
+            state = float(g["max_dot"].iloc[0]) if m == "dot" else float(g["gamma"].iloc[0]) if m == "rbf" else 0.0
+            d = _upper(block_distance(m, V, V, state))
+            out.append((key[0], m, float(np.quantile(d, quantile)) if len(d) else 1.0))
+        return pd.DataFrame(out, columns=["pool_id", "metric", "epsilon"])
+    return s.groupBy("pool_id").applyInPandas(
+        epsilons, f"pool_id {s.schema['pool_id'].dataType.simpleString()}, metric string, epsilon double")

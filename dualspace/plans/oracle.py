@@ -697,3 +697,9 @@ from b group by pool_id
 SQL["stream_cell_means"] = RES + """select dataset, embedder, metric, strategy, d, count(*) as n,
   avg(f1) as running_f1, avg(coalesce(judge, 0.0)) as running_judge, avg(n_retrieved) as running_retrieved
   from res group by all"""
+
+# DuckDB counts in BIGINT; these columns are integers in the plans
+for _name, _column in (("naive_topk", "rank"), ("tfidf_weights", "idx"), ("tfidf_topk", "rank"), ("judge_keys", "prompt_chars"),
+                       ("evidence_link", "rank"), ("decay_capped", "rank"), ("ppr_topk", "rank"), ("vector_store_misses", "chars"),
+                       ("knn_graph", "rank"), ("knn_graph_one_pool", "rank")):
+    SQL[_name] = f"select * replace (cast({_column} as integer) as {_column}) from ({SQL[_name]})"
