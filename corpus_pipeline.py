@@ -57,9 +57,16 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in the sequences."""
+    """The pieces of all documents with their places in the sequences, whose ids
+    rise in the order of the mix. A table keeps no order, so the places in the mix are
+    found anew, for the rows as they are cut."""
     ship_package(spark)
-    return packing.pack(packing.cut_documents(docs, packing.tokenizer_path()))
+    doc = F.struct("doc_id", "source", F.monotonically_increasing_id().alias("row_id"))
+    cut = packing.cut_documents(docs.withColumn("_ds_doc", doc), packing.tokenizer_path(), key="_ds_doc")
+    pieces = written(cut.select("doc_id.*", *cut.columns[1:]), "pieces")
+    mixed = mixing.mix(pieces.where("start = 0").select("row_id", "doc_id", "source"))  # each document has one such piece
+    places = written(mixed.select("row_id", mixing.position().alias("position")), "mix-places")
+    return packing.pack_in_order(pieces.drop("source").join(places, "row_id").drop("row_id"))
 
 
 STAGES = [

@@ -124,6 +124,12 @@ def mix(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, block_rows: int =
         (p["slot0"] + F.expr("_ds_j div _ds_span.weight") * p["total"] + turn).alias("slot"), "offset")
 
 
+def position(block_rows: int = BLOCK_ROWS):
+    """The place in the mix as one whole number, of a row of `mix`: unique, rising with (slot, offset),
+    with gaps where a source's last block is not full."""
+    return F.col("slot") * block_rows + F.col("offset")
+
+
 def mixed_order(docs: DataFrame, key: str = "doc_id", source: str = "source", **options) -> DataFrame:
     """The rows and columns of `docs`, whatever their names, range-partitioned and sorted in the order of the mix."""
     inner = {c: f"_in{i}" for i, c in enumerate(docs.columns)}

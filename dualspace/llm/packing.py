@@ -1,7 +1,8 @@
 """Sequence packing by Karmarkar-Karp multiway differencing.
 
 Documents become ids, are cut at multiples of the window capacity, and the
-pieces are dealt at random into groups of bounded size. Within a group the
+pieces are dealt at random (`pack`) or by contiguous stretches of a given order of the
+documents (`pack_in_order`) into groups of bounded size. Within a group the
 pieces are partitioned into k windows by differencing: the two partial
 partitions with the largest spreads are merged so that the fullest windows
 of one meet the emptiest of the other, until one partition of near-equal
@@ -191,6 +192,41 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
     return dealt.groupBy("grp").applyInArrow(_pack_kernel(capacity), schema)
 
 
+#: places per sequence number: a document's full pieces, then the window that its last piece opens
+PLACE_BITS = 25
+
+
+def _ordered_kernel(capacity: int):
+    def run(group):
+        import numpy as np
+        import pyarrow as pa
+        group = group.sort_by("position")
+        lengths, places = group.column("length").to_pylist(), group.column("position").to_pylist()
+        seq, off = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+        for w in windows(lengths, capacity):
+            at, first = 0, places[min(w)]
+            for i in sorted(w):
+                seq[i], off[i] = first << PLACE_BITS | 1 << (PLACE_BITS - 1), at
+                at += lengths[i]
+        return group.drop_columns(["grp", "position"]).append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(off))
+    return run
+
+
+def pack_in_order(pieces: DataFrame, capacity: int = CAPACITY, group_places: int = GROUP_PIECES) -> DataFrame:
+    """Like `pack`, for the pieces of `cut_documents` with a column `position`, the whole number
+    from 0 (below 2^38) that is the document's place in an order. A window holds only pieces
+    of one stretch of `group_places` places, and is numbered by its first document's place, so
+    sequence_ids rise with the order, up to one stretch. A full piece is a window of
+    its own and meets no other; a document has at most one shorter piece, so a stretch holds at
+    most `group_places` of them, however long the documents."""
+    full = F.col("length") == capacity
+    schema = pieces.drop("position").schema.add("sequence_id", "long").add("offset", "long")
+    number = F.shiftleft("position", PLACE_BITS).bitwiseOR(F.expr(f"start div {capacity}"))
+    whole = pieces.where(full).withColumns({"sequence_id": number, "offset": F.lit(0).cast("long")}).drop("position")
+    rest = pieces.where(~full).withColumn("grp", F.expr(f"position div {group_places}"))
+    return whole.union(rest.groupBy("grp").applyInArrow(_ordered_kernel(capacity), schema))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
     return public_tokenizers.path("word_bpe_49k.json")

@@ -20,3 +20,33 @@ def test_near_duplicates_keep_one_of_each_class(spark, docs, corpus):
     from tests.llm.test_simhash import brute_components
     got = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect())
     assert got == sorted({c for _, _, c in brute_components([(r[0], r[1]) for r in corpus])})
+
+
+def test_sequences_follow_the_mix(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+    from dualspace.llm import mixing, packing
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[-2:])  # run(): mix, then pack
+    long = "ab " * 9000
+    rows = [(i, long if i % 50 == 0 else "ab " * (1 + i % 300), "src0" if i % 20 else "src1") for i in range(8000)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    source, length = {r[0]: r[2] for r in rows}, {}
+    assert len({(r["doc_id"], r["start"]) for r in out}) == len(out) and {r["doc_id"] for r in out} == set(source)
+    for r in out:
+        length[r["sequence_id"]] = length.get(r["sequence_id"], 0) + r["length"]
+    assert max(length.values()) <= packing.CAPACITY
+    assert sum(length.values()) == sum(r["doc_tokens"] for r in out if r["start"] == 0)
+    place = {r["doc_id"]: r["p"] for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+             .select("doc_id", mixing.position().alias("p")).collect()}
+    reach, by_seq = packing.GROUP_PIECES, {}
+    for r in out:
+        by_seq.setdefault(r["sequence_id"], []).append(place[r["doc_id"]])
+    seen = -1
+    for _, p in sorted(by_seq.items()):  # no sequence lies more than a stretch before or behind another's documents
+        assert max(p) // reach == min(p) // reach >= seen
+        seen = min(p) // reach
+    # while src1's 400 documents last it has a seventh of the places (weights 6 and 1): the last are in the fourth stretch
+    ordered = sorted((r["sequence_id"], r["offset"], r["doc_id"]) for r in out if r["start"] + r["length"] == r["doc_tokens"])
+    first = [source[d] for _, _, d in ordered[:2 * reach]]
+    assert abs(first.count("src1") / len(first) - 1 / 7) < 0.04
+    assert all(source[d] == "src0" for _, _, d in ordered[4 * reach:])
