@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dualspace.llm import mixing, packing, quality, secret_scan, simhash
-from dualspace.llm.common import scratch_path, written
+from dualspace.llm.common import scratch_path, text_or_empty, written
 from dualspace.session import ship_package
 
 
@@ -28,15 +28,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document with the smallest doc_id stays, once;
-    a component whose ids are all null keeps one of its rows."""
+    """Of each SimHash component exactly one row stays: the one with the smallest
+    doc_id (null last), then by digests of its text and of the whole row. Rows are
+    known by these, not by their ids, so null and repeated ids lose no component."""
     ship_package(spark)
-    classes = simhash.near_duplicates(docs)
-    stay = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_ds_id"), F.col("fp").alias("_ds_fp")).distinct()
-    stay = stay.groupBy("_ds_id").agg(F.min("_ds_fp").alias("_ds_fp"))
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_ds_id"))).select(*docs.columns)
-    return kept.dropDuplicates(["doc_id"])
+    hashed = [c for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"),
+                   F.unhex(F.sha2(text_or_empty(), 256)).alias("text"), F.xxhash64(*hashed).alias("row"))
+    classes = simhash.near_duplicates(docs.withColumn("_ds_key", key), key="_ds_key")
+    stay = classes.select("component_id.*").distinct().select("id", F.col("text").alias("_ds_text"), F.col("row").alias("_ds_row"))
+    rows = docs.withColumns({"_ds_text": key["text"], "_ds_row": key["row"]})
+    kept = rows.join(stay.withColumnRenamed("id", "_ds_id"), ["_ds_text", "_ds_row"]).where(F.col("doc_id").eqNullSafe(F.col("_ds_id")))
+    return kept.dropDuplicates(["doc_id", "_ds_text", "_ds_row"]).select(*docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

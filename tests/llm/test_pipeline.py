@@ -50,3 +50,14 @@ def test_sequences_follow_the_mix(spark, tmp_path, monkeypatch):
     first = [source[d] for _, _, d in ordered[:2 * reach]]
     assert abs(first.count("src1") / len(first) - 1 / 7) < 0.04
     assert all(source[d] == "src0" for _, _, d in ordered[4 * reach:])
+
+
+def test_near_duplicates_keep_null_and_repeated_ids_of_unlike_texts(spark):
+    texts = [" ".join(f"{w}{i}" for i in range(60)) for w in ("ore", "fig", "elm", "yew", "oak")]
+    rows = [(None, texts[0], "a"), (None, texts[1], "a"), (None, texts[1], "a"), (5, texts[2], "a"), (5, texts[3], "a"),
+            (7, texts[0], "b"), (3, texts[4], "a"), (3, texts[4], "b"), (None, None, "a"), (None, "", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for given in (docs, docs.repartition(4), docs.orderBy("source", "text")):
+        got = [tuple(r) for r in corpus_pipeline.near_duplicate_stage(spark, given, "").collect()]
+        assert sorted(t or "" for _, t, _ in got) == sorted([*texts, ""])  # one row of each component
+        assert {(5, texts[2], "a"), (5, texts[3], "a"), (7, texts[0], "b"), (None, texts[1], "a")} <= set(got)
