@@ -54,8 +54,11 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20, ("akia",)),
     Rule("hex", r"[0-9a-f]{24,}", 0, 24),
 )
+_KEY = r"[A-Z\x20]{0,40}PRIVATE KEY(?: BLOCK)?-----"
 RULES = BASE_RULES + (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1, ("private key-----",)),
+    # from BEGIN through END, or BEGIN alone if no END comes before the next BEGIN
+    Rule("private_key", rf"-----BEGIN {_KEY}(?:[^-]*+(?:-(?!----BEGIN |----END {_KEY})[^-]*+)*+-----END {_KEY})?", 0, 1,
+         ("private key-----", "private key block-----"), 2),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1, ("eyj",)),
     Rule("vcs_token", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
 )

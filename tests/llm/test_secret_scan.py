@@ -62,3 +62,17 @@ def test_redaction_and_empty_table(spark, docs, empty):
     assert all(not brute(r["text"]) for r in rows if r["text"]) and any("[SECRET]" in (r["text"] or "") for r in rows)
     assert [r["text"] for r in rows if r["doc_id"] == 200] == [None]
     assert S.scan_history(empty, ["doc_id"], scratch_path(spark, "ledger-test")).count() == 0
+
+
+def test_whole_private_keys_are_masked(spark):
+    body = "\n".join("MIIEpAIBAAKCAQEA7-x+/Zq" * 3 for _ in range(20))
+    key = lambda kind: f"-----BEGIN {kind}-----\nVersion: x - 1\n\n{body}\n-----END {kind}-----"
+    head = "-----BEGIN EC PRIVATE KEY-----"
+    texts = [f"a {key('RSA PRIVATE KEY')} b {key('PRIVATE KEY')} c", f"x\n{key('PGP PRIVATE KEY BLOCK')}\ny", f"t {head} no end",
+             f"{head} cut {key('RSA PRIVATE KEY')} z", f"secret: {key('PRIVATE KEY')} q", f"{key('PUBLIC KEY')}", head * 20_000]
+    want = ["a [SECRET] b [SECRET] c", "x\n[SECRET]\ny", "t [SECRET] no end", "[SECRET] cut [SECRET] z", "[SECRET] q",
+            texts[5], "[SECRET]" * 20_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = S.redact(docs, scratch_path(spark, "ledger-test")).orderBy("doc_id").collect()
+    assert [r["text"] for r in out] == want
+    assert next(r.version for r in S.RULES if r.kind == "private_key") > 1
