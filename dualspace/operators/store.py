@@ -92,7 +92,8 @@ FINGERPRINT_BLOCK = 1024
 
 def corpus_fingerprint(chunks: DataFrame, pool: str = "pool_id", idx: str = "chunk_idx",
                        text: str = "text", block: int = FINGERPRINT_BLOCK) -> DataFrame:
-    """E11, order-sensitive, for pools of any size: sha1 over every chunk text
+    """Not the reference's value (see `corpus_fingerprint_reference`), but order-sensitive
+    and parallel within a pool: sha1 over every chunk text
     followed by NUL, per block of `block` consecutive indices, then sha1 over the blocks'
     hashes in order, first 16 hex digits. A fold holds one block of texts, or 40
     characters per block."""
@@ -103,6 +104,39 @@ def corpus_fingerprint(chunks: DataFrame, pool: str = "pool_id", idx: str = "chu
     return tops.select(pool, F.substring(F.sha1(fold("_c", lambda e: e["_h"])), 1, 16).alias("fingerprint"))
 
 
+def _fingerprint_kernel(batches):
+    import hashlib
+
+    import pyarrow as pa
+    pool, state = None, None  # the open pool and its hash
+    for b in batches:
+        done = []
+        for p, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if state is None or p != pool:
+                if state is not None:
+                    done.append((pool, state.hexdigest()[:16]))
+                pool, state = p, hashlib.sha1()
+            state.update(text.encode("utf-8"))
+            state.update(b"\0")
+        kind = b.schema.field(0).type
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], kind), pa.array([x[1] for x in done], pa.string())],
+                                             names=["pool", "fingerprint"])
+    if state is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([pool], kind), pa.array([state.hexdigest()[:16]], pa.string())],
+                                         names=["pool", "fingerprint"])
+
+
+def corpus_fingerprint_reference(chunks: DataFrame, pool: str = "pool_id", idx: str = "chunk_idx",
+                                 text: str = "text") -> DataFrame:
+    """E11, the reference's own value: sha1 over every chunk text followed by NUL in index
+    order, first 16 hex digits; null texts are left out. Each pool streams through one task
+    that holds only the open hash; sha1 is serial, so a pool is never split over tasks."""
+    rows = chunks.where(F.col(text).isNotNull()).select(F.col(pool).alias("_p"), F.col(text).cast("string").alias("_t"), F.col(idx).alias("_i"))
+    rows = rows.repartition("_p").sortWithinPartitions("_p", "_i", "_t").select("_p", "_t")
+    return rows.mapInArrow(_fingerprint_kernel, f"pool {dict(rows.dtypes)['_p']}, fingerprint string").withColumnRenamed("pool", pool)
+
+
 def corpus_fingerprint_commutative(chunks: DataFrame, pool: str = "pool_id", idx: str = "chunk_idx",
                                    text: str = "text") -> DataFrame:
     """E11 for pools of any size: the sum (as a 38-digit decimal) of

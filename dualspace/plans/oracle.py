@@ -694,6 +694,11 @@ select pool_id, substring(sha1(string_agg(h, '' order by blk)), 1, 16) as finger
 from b group by pool_id
 """
 
+SQL["corpus_fingerprint_reference"] = QA + """
+select pool_id, substring(sha1(string_agg(text || chr(0), '' order by chunk_idx)), 1, 16) as fingerprint
+from c group by pool_id
+"""
+
 SQL["stream_cell_means"] = RES + """select dataset, embedder, metric, strategy, d, count(*) as n,
   avg(f1) as running_f1, avg(coalesce(judge, 0.0)) as running_judge, avg(n_retrieved) as running_retrieved
   from res group by all"""

@@ -48,8 +48,14 @@ def q_corpus_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.corpus_fingerprint(chunks)
 
 
+def q_corpus_fingerprint_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, chunks, _ = qa.load_benchmark("struct_of_arrays", spark, sf_dir)
+    return store.corpus_fingerprint_reference(chunks)
+
+
 QUERIES = {
     "vector_store_misses": q_vector_store_misses,
     "vector_store_stats": q_vector_store_stats,
     "corpus_fingerprint": q_corpus_fingerprint,
+    "corpus_fingerprint_reference": q_corpus_fingerprint_reference,
 }

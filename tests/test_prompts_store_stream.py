@@ -79,3 +79,12 @@ def test_completion_store_calls_only_misses(spark):
     assert out == {1: "P1", 2: "P2", 3: "P1"}
     cs.complete(req, key, "prompt", "m", fn, clean_answer).collect()
     assert spark.read.parquet(path).count() == 2      # the second call found every key stored
+
+
+def test_reference_fingerprint(spark):
+    import hashlib
+    from dualspace.operators.store import corpus_fingerprint_reference
+    rows = [(p, i, f"é {p} {i}" if i % 7 else "") for p in (None, 1, 2, 3) for i in range(3000 if p == 2 else 9)]
+    chunks = spark.createDataFrame([*rows[::-1], (1, 4, None)], "pool_id int, chunk_idx int, text string")
+    got = {r["pool_id"]: r["fingerprint"] for r in corpus_fingerprint_reference(chunks).collect()}
+    assert got == {p: hashlib.sha1("".join(t + "\0" for q, _, t in rows if q == p).encode()).hexdigest()[:16] for p in (None, 1, 2, 3)}
