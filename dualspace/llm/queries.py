@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dualspace.llm import chat, cleaning, mixing, packing, quality, secret_scan, simhash, topk, url_filter, warc
+from dualspace.llm import (chat, cleaning, mixing, ngram_join, packing, periodic_runs, quality, secret_scan, simhash,
+                           spelling, topk, url_filter, warc)
 
 QUERIES = {
     "op1_secret_scans": secret_scan.query,
@@ -15,6 +16,9 @@ QUERIES = {
     "op8_quality_rules": cleaning.query,
     "op9_url_filters": url_filter.query,
     "op10_source_mixing": mixing.query,
+    "op11_ngram_jaccard_join": ngram_join.query,
+    "op12_periodic_runs": periodic_runs.query,
+    "op13_spelling_variants": spelling.query,
 }
 
 ORACLE_SQL = {
@@ -23,4 +27,5 @@ ORACLE_SQL = {
     "op6_exact_topk": topk.ORACLE_SQL,
     "op8_quality_rules": cleaning.ORACLE_SQL,
     "op10_source_mixing": mixing.ORACLE_SQL,
+    "op11_ngram_jaccard_join": ngram_join.ORACLE_SQL,
 }
