@@ -39,7 +39,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dualspace.llm.common import written
+from dualspace.llm.common import broadcast_checked, written
 from dualspace.llm.components import components
 
 SHINGLE = 4
@@ -48,6 +48,8 @@ BUCKETS = 1 << 18
 BAND = 1 << 13
 FIRST = 2  # shared shingles of a set that round 1 looks at
 BLOCK = 512  # sets per block; entries of shingles with more sets than this skip the parity bits
+#: shingles of more sets than a block are listed to all tasks up to this count, joined by a shuffle beyond
+HOT_LIST_ROWS = 20_000
 SEEN_SETS = 200_000  # equal sets are collapsed inside a task while it remembers this many
 _HASH_BITS = 58
 
@@ -209,7 +211,7 @@ def _bit_table(ids: DataFrame, log_bits: int = 22) -> bytes:
 
 
 def _may_be_similar(i, j, n, level, rows, percent: int):
-    """Which pairs (i, j) of sets the sizes and parity bits leave. rows[v]: bits of the sets of level v, as (position of set, matrix)."""
+    """Which pairs (i, j) of sets their sizes and parity bits leave. rows[v]: bits of the sets of level v, as (position of set, matrix)."""
     import numpy as np
     near = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
     most = (100 - percent) * (n[i] + n[j]) // (100 + percent)  # shingles that similar sets differ in
@@ -230,10 +232,12 @@ def _may_be_similar(i, j, n, level, rows, percent: int):
 
 
 def _partner_kernel(percent: int, names: list[str], pairs_at_once: int = 1 << 20):
-    """Rows sorted by tok, at most a block per tok, with columns n and bits last: those with a possible partner, without these two."""
+    """Rows sorted by tok, at most a block per tok, with columns n and bits last: those with a partner that may be
+    similar and may have this shingle as the first in common (not the same one before), without these two columns."""
     def judged(t):
         import numpy as np
         tok, n = t.column("tok").to_numpy(), t.column("n").to_numpy()
+        before = t.column("prev").fill_null(-1).to_numpy()
         bits = t.column("bits").to_pylist()
         level = np.array([len(x).bit_length() - 4 for x in bits], np.int64)  # 8 bytes: level 0
         rows = {}
@@ -252,6 +256,8 @@ def _partner_kernel(percent: int, names: list[str], pairs_at_once: int = 1 << 20
             e = after[lo:hi]
             i = np.repeat(np.arange(lo, hi), e)
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(e) - e, e)
+            first = (before[i] != before[j]) | (before[i] < 0)
+            i, j = i[first], j[first]
             near = _may_be_similar(i, j, n, level, rows, percent)
             good[i[near]] = good[j[near]] = True
             lo = hi
@@ -459,11 +465,11 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     by_set = Window.partitionBy("a", "b").orderBy("pos")  # a set's prefix: bounded by one text
     shared = written(shared.select("tok", "a", "b", "pos", F.lag("tok").over(by_set).alias("prev")), "shared")
     distinct = written(marked.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "distinct-sets")
-    sizes = written(shared.groupBy("tok").agg(F.count(F.lit(1)).alias("m")), "shared-counts")
     names = ["tok", "a", "b", "pos", "prev"]
-    few = shared.join(sizes.where(F.col("m") <= block), "tok").drop("m").join(distinct.select("a", "b", "n", "bits"), ["a", "b"]).select(*names, "n", "bits")
+    hot = broadcast_checked(written(shared.groupBy("tok").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > block).select("tok"), "hot-shingles"), HOT_LIST_ROWS)
+    few = shared.join(hot, "tok", "left_anti").join(distinct.select("a", "b", "n", "bits"), ["a", "b"]).select(*names, "n", "bits")
     few = few.repartition("tok").sortWithinPartitions("tok").mapInArrow(_partner_kernel(percent, names), "tok long, a long, b long, pos int, prev long")
-    many = shared.join(sizes.where(F.col("m") > block), "tok").select(*names)
+    many = shared.join(hot, "tok", "left_semi").select(*names)
     met = written(few.union(many).withColumn("r", F.row_number().over(by_set)), "met")
     ids = met.where("r = 1").select("a", "b")
     sets = body.mapInArrow(_whole_kernel(shingle, classes, _bit_table(ids)), "a long, b long, toks array<long>")
