@@ -303,6 +303,8 @@ SQL["ppr_pca"] = walk_sql("euclidean", 0.85, "anchors") + \
     "select pool_id, qid, chunk_idx, round(mass, 6) as mass from final"
 SQL["walk_strict"] = walk_sql("euclidean", 0.70, "strict") + \
     "select pool_id, qid, chunk_idx, round(mass, 6) as mass from final"
+SQL["ppr_mass_one_pool"] = walk_sql("euclidean", 0.85, "anchors").replace("vec_id // 50 as pool_id", "0 as pool_id") + \
+    "select pool_id, qid, chunk_idx, round(mass, 6) as mass from final"
 SQL["ppr_topk"] = walk_sql("mahalanobis", 0.85, "anchors") + """,
 top as (select * from (select *, row_number() over (partition by qid order by mass desc, chunk_idx) as rk
         from final) where rk <= 5),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from dualspace.operators import decay, pca
 from dualspace.operators import metrics as M
@@ -14,6 +15,7 @@ from dualspace.session import cut_lineage
 from dualspace.sources.fixtures import chunk_vectors, query_vectors, z_standin
 
 MAX_HOPS = 2
+ONE_POOL_BLOCK, ONE_POOL_QUERIES = 256, 32  # so that the one pool is cut into several blocks
 
 
 def _decay(spark: SparkSession, sf_dir: str, metric: str, tau: float, gamma: float,
@@ -63,10 +65,12 @@ QUERIES = {
 
 
 # --------------------------------------------------------------------------- walk
-def _walk(spark: SparkSession, sf_dir: str, metric: str, tau: float, start: str,
-          z: tuple[DataFrame, DataFrame] | None = None):
-    from dualspace.operators import search, walk
+def _walk_input(spark: SparkSession, sf_dir: str, metric: str, tau: float, start: str,
+                z: tuple[DataFrame, DataFrame] | None = None, one_pool: bool = False):
+    from dualspace.operators import search
     chunks, queries = chunk_vectors(spark, sf_dir), query_vectors(spark, sf_dir)
+    if one_pool:  # the whole table as one pool
+        chunks, queries = (df.withColumn("pool_id", F.lit(0).cast("bigint")) for df in (chunks, queries))
     z, lam = z_standin(chunks, Z_DIMS) if z is None else z
     space = M.build_space(metric, z, lam, Z_DIMS)
     if start == "anchors":
@@ -74,36 +78,49 @@ def _walk(spark: SparkSession, sf_dir: str, metric: str, tau: float, start: str,
     else:
         seeds = search.strict_start_set(chunks, queries, tau)
     seeds = cut_lineage(seeds.select("pool_id", "qid", "chunk_idx"))
-    mass = walk.random_walk(space.points, space.state, metric, seeds, queries.select("pool_id", "qid"))
-    return mass, seeds
+    return space.points, space.state, metric, seeds, queries.select("pool_id", "qid")
+
+
+def _walk(*args, **more) -> DataFrame:
+    from dualspace.operators import walk
+    return walk.random_walk(*_walk_input(*args, **more))
 
 
 def q_ppr_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dualspace.plans.common import rounded
-    mass, _ = _walk(spark, sf_dir, "mahalanobis", TAU_MAIN, "anchors")
+    mass = _walk(spark, sf_dir, "mahalanobis", TAU_MAIN, "anchors")
     return rounded(mass, "mass")
 
 
 def q_ppr_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dualspace.plans.common import rounded
-    mass, _ = _walk(spark, sf_dir, "euclidean", TAU_MAIN, "anchors", _pca_space(spark, sf_dir))
+    mass = _walk(spark, sf_dir, "euclidean", TAU_MAIN, "anchors", _pca_space(spark, sf_dir))
     return rounded(mass, "mass")
 
 
 def q_ppr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dualspace.operators import walk
-    mass, seeds = _walk(spark, sf_dir, "mahalanobis", TAU_MAIN, "anchors")
-    return walk.topk_roles(mass, seeds, 5)
+    given = _walk_input(spark, sf_dir, "mahalanobis", TAU_MAIN, "anchors")
+    return walk.roles_of_top(walk.walk_top_k(*given, k=5), given[3], 5)
+
+
+def q_ppr_mass_one_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table as one pool, in blocks."""
+    from dualspace.operators import walk
+    from dualspace.plans.common import rounded
+    given = _walk_input(spark, sf_dir, "euclidean", TAU_MAIN, "anchors", one_pool=True)
+    return rounded(walk.random_walk(*given, block=ONE_POOL_BLOCK, query_block=ONE_POOL_QUERIES), "mass")
 
 
 def q_walk_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dualspace.plans.common import rounded
-    mass, _ = _walk(spark, sf_dir, "euclidean", TAU_ALT, "strict")
+    mass = _walk(spark, sf_dir, "euclidean", TAU_ALT, "strict")
     return rounded(mass, "mass")
 
 
 QUERIES.update({
     "ppr_mass": q_ppr_mass,
+    "ppr_mass_one_pool": q_ppr_mass_one_pool,
     "ppr_pca": q_ppr_pca,
     "ppr_topk": q_ppr_topk,
     "walk_strict": q_walk_strict,

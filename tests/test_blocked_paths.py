@@ -94,3 +94,67 @@ def test_walk_uniform_restart_when_no_seed(spark):
     m = walk.random_walk(space.points, space.state, "euclidean", seeds, q.select("pool_id", "qid"))
     n = c.count()
     assert m.count() == q.count() * (n // q.select("pool_id").distinct().count())
+
+
+def test_walk_top_k_equals_the_masses_whatever_the_blocks(spark):
+    c, q = chunk_vectors(spark, SF_SMALL), query_vectors(spark, SF_SMALL)
+    z, lam = z_standin(c, 4)
+    space = M.build_space("mahalanobis", z, lam, 4)
+    seeds = search.anchors(c, q, 0.85, 3).select("pool_id", "qid", "chunk_idx")
+    given = (space.points, space.state, "mahalanobis", seeds, q.select("pool_id", "qid"))
+    want = _rows(walk.topk_roles(walk.random_walk(*given), seeds, 5), "qid", "role", "rank", "chunk_idx")
+    for block, query_block in ((4096, 256), (4096, 1), (13, 1)):
+        top = walk.walk_top_k(*given, k=5, block=block, query_block=query_block)
+        assert _rows(walk.roles_of_top(top, seeds, 5), "qid", "role", "rank", "chunk_idx") == want, block
+    assert walk.walk_top_k(*given, k=99).count() == walk.random_walk(*given).count()  # k beyond the pool
+
+
+def test_settled_queries_leave_the_walk_with_the_right_ranks():
+    rng = np.random.default_rng(5)
+    less = 0
+    for _ in range(40):
+        n = int(rng.integers(2, 60))
+        K = np.exp(-8 * rng.random((n, n)))
+        W = K / K.sum(axis=1, keepdims=True)
+        v = np.zeros((9, n))
+        for r in v:
+            r[rng.choice(n, int(rng.integers(1, min(n, 4) + 1)), replace=False)] = 1
+        v /= v.sum(axis=1, keepdims=True)
+        whole, work = walk.walk_matrix(W, v, 0.85, 10)
+        early, done = walk.walk_matrix(W, v, 0.85, 10, k=3)
+        assert (walk.best_positions(whole, 3) == walk.best_positions(early, 3)).all()
+        less += work - done
+    assert less > 0
+    W = np.full((4, 4), 0.25)  # ties are never settled
+    assert walk.walk_matrix(W, W[:2], 0.85, 10, k=2)[1] == 20
+
+
+def test_walk_steps_leave_the_cells_where_they_lie(spark):
+    """The plan of a step exchanges masses; the bucketed cells are neither shuffled nor broadcast."""
+    c, q = chunk_vectors(spark, SF_SMALL), query_vectors(spark, SF_SMALL)
+    z, lam = z_standin(c, 4)
+    space = M.build_space("euclidean", z, lam, 4)
+    seeds = search.anchors(c, q, 0.85, 3).select("pool_id", "qid", "chunk_idx")
+    w = walk._Walk(space.points, space.state, "euclidean", seeds, q.select("pool_id", "qid"), 0.85, 1.0, 10, 13, 2)
+    name, start = w.cells(), w.start()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        step = w.step(spark.table(name), start, start)
+        plan = step._jdf.queryExecution().executedPlan()
+        text = plan.toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    lines = text.split("\n")
+    scan = next(n for n, x in enumerate(lines) if "FileScan" in x and "flat_i" in x)
+    depth = len(lines[scan]) - len(lines[scan].lstrip(" :+-"))
+    above = []
+    for x in reversed(lines[:scan]):  # the nodes above the scan, up to the join
+        d = len(x) - len(x.lstrip(" :+-"))
+        if d < depth:
+            above.append(x.strip(" :+-"))
+            depth = d
+    join = next(n for n, x in enumerate(above) if "SortMergeJoin" in x)
+    assert not any("Exchange" in x for x in above[:join]), text
+    assert step.count() == start.count()
+    spark.sql(f"drop table {name}")
