@@ -101,3 +101,31 @@ def ddl_type(df: DataFrame, col: str) -> str:
 def ids(series) -> "np.ndarray":  # noqa: F821
     """Id column as a numpy array without forcing a type."""
     return series.to_numpy()
+
+
+def frame_of(schema: str, rows: list[tuple]) -> "pd.DataFrame":  # noqa: F821
+    """Rows as a pandas frame with the column names of a DDL schema."""
+    import pandas as pd
+    names = [c.strip().split(" ", 1)[0] for c in schema.split(", ")]
+    return pd.DataFrame(rows, columns=names) if rows else pd.DataFrame({n: pd.Series(dtype=object) for n in names})
+
+
+def add_arrays(parts: DataFrame, keys: list[str], value: str, schema: str) -> DataFrame:
+    """Sums of equally long arrays by key, added as they stream by: one array in memory."""
+    import numpy as np
+
+    def run(batches):
+        at, total = None, None
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                if at is not None and at == tuple(r[:-1]):
+                    total += np.asarray(r[-1], dtype=np.float64)
+                else:
+                    if at is not None:
+                        out.append((*at, total))
+                    at, total = tuple(r[:-1]), np.array(r[-1], dtype=np.float64)
+            yield frame_of(schema, out)
+        if at is not None:
+            yield frame_of(schema, [(*at, total)])
+    return parts.select(*keys, value).repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)

@@ -303,7 +303,7 @@ SQL["ppr_pca"] = walk_sql("euclidean", 0.85, "anchors") + \
     "select pool_id, qid, chunk_idx, round(mass, 6) as mass from final"
 SQL["walk_strict"] = walk_sql("euclidean", 0.70, "strict") + \
     "select pool_id, qid, chunk_idx, round(mass, 6) as mass from final"
-SQL["ppr_mass_one_pool"] = walk_sql("euclidean", 0.85, "anchors").replace("vec_id // 50 as pool_id", "0 as pool_id") + \
+SQL["ppr_mass_one_pool"] = walk_sql("euclidean", 0.85, "anchors").replace("vec_id // 50 as pool_id", "cast(0 as bigint) as pool_id") + \
     "select pool_id, qid, chunk_idx, round(mass, 6) as mass from final"
 SQL["ppr_topk"] = walk_sql("mahalanobis", 0.85, "anchors") + """,
 top as (select * from (select *, row_number() over (partition by qid order by mass desc, chunk_idx) as rk
@@ -333,6 +333,7 @@ from chunks group by pool_id
 """
 SQL["pca_total_variance"] = ALL + "select pool_id, round(" + " + ".join(
     f"var_samp(x[{k}])" for k in range(1, 65)) + ", 6) as total_variance from chunks group by pool_id"
+SQL["pca_inv_cov"] = SQL["pca_total_variance"].replace("as total_variance", "as total_variance, cast(count(*) - 1 as double) as mahalanobis")
 SQL["pca_project"] = ALL + ",\nmu as (select pool_id, " + ", ".join(
     f"avg(x[{k}]) as m{k}" for k in range(1, 65)) + """ from chunks group by pool_id)
 select c.pool_id, c.chunk_idx, round(sqrt(""" + " + ".join(

@@ -9,6 +9,7 @@ from dualspace.functions import vectors as V
 from dualspace.operators import decay, pca
 from dualspace.operators import metrics as M
 from dualspace.plans.common import GAMMA_MAIN, TAU_MAIN, rounded
+from dualspace.session import cut_lineage
 from dualspace.sources.fixtures import all_vectors, chunk_vectors, query_vectors
 
 TOL = 1e-8
@@ -44,6 +45,17 @@ def q_pca_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(z.select("pool_id", "chunk_idx", V.norm("z").alias("znorm")), "znorm")
 
 
+def q_pca_inv_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3, M7 by what they must add up to: the variance kept, and (all components) the mean squared
+    Mahalanobis length, n - 1 where n <= D."""
+    z, inv = pca.legacy_projector(all_vectors(spark, sf_dir), 64)
+    inv = cut_lineage(inv)
+    length = F.aggregate(F.zip_with("z", "inv_cov", lambda a, w: a * a * w), F.lit(0.0), lambda s, v: s + v)
+    mean = z.join(inv, "pool_id").groupBy("pool_id").agg((F.sum(length) / (F.count(F.lit(1)) - 1)).alias("mahalanobis"))
+    kept = inv.select("pool_id", F.aggregate("inv_cov", F.lit(0.0), lambda s, w: s + 1.0 / w - pca.INV_COV_RIDGE).alias("total_variance"))
+    return rounded(kept, "total_variance").join(mean.withColumn("mahalanobis", F.round("mahalanobis", 2)), "pool_id")
+
+
 def q_layout_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, queries = chunk_vectors(spark, sf_dir), query_vectors(spark, sf_dir)
     z, lam, _ = pca.structural_space(chunks, 8)
@@ -57,5 +69,6 @@ QUERIES = {
     "pca_invariants": q_pca_invariants,
     "pca_total_variance": q_pca_total_variance,
     "pca_project": q_pca_project,
+    "pca_inv_cov": q_pca_inv_cov,
     "layout_2d": q_layout_2d,
 }
