@@ -275,6 +275,22 @@ def point_columns(metric) -> list[str]:
     return ["v", "cov", "logdet"] if canonical(metric) == "bhattacharyya" else ["v"]
 
 
+def packed_points(points: DataFrame, metric) -> DataFrame:
+    """(pool_id, chunk_idx, flat): all coordinates of a point in one array."""
+    cols = point_columns(metric)
+    flat = F.col("v") if len(cols) == 1 else F.concat("v", "cov", F.array("logdet"))
+    return points.select("pool_id", "chunk_idx", *cols).select("pool_id", "chunk_idx", flat.alias("flat"))
+
+
+def unpacked_points(flat, metric, n: int):
+    """(v, cov, logdet) of `n` points laid end to end as `packed_points` packs them."""
+    X = np.asarray(flat, dtype=np.float64).reshape(n, -1)
+    if canonical(metric) != "bhattacharyya":
+        return X, None, None
+    d = int((-1 + np.sqrt(1 + 4 * (X.shape[1] - 1))) / 2 + 0.5)
+    return X[:, :d], X[:, d:-1].reshape(n, d, d), X[:, -1]
+
+
 def block_distance(metric, Vi: np.ndarray, Vj: np.ndarray, s: float,
                    Ci=None, Cj=None, Li=None, Lj=None) -> np.ndarray:
     """Numpy twin of `pair_distance` for a block of rows x a block of columns."""

@@ -257,6 +257,7 @@ SQL["decay_hops_bhattacharyya_2d"] = decay_sql("bhattacharyya", 0.85, 1.1) + "se
 SQL["decay_strict"] = decay_sql("euclidean", 0.85, 1.1, start="strict") + "select * from hops"
 # all principal components: euclidean distances are those of the centred vectors
 SQL["decay_pca"] = decay_sql("euclidean", 0.85, 1.1) + "select * from hops"
+SQL["decay_one_pool"] = (decay_sql("mahalanobis", 0.85, 1.1) + "select * from hops").replace("vec_id // 50 as pool_id", "cast(0 as bigint) as pool_id")
 SQL["decay_capped"] = decay_sql("mahalanobis", 0.85, 1.1) + """
 select pool_id, qid, role, rank, chunk_idx from (
   select *, row_number() over (partition by qid, role order by chunk_idx) as rank from (

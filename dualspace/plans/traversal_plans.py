@@ -19,13 +19,15 @@ ONE_POOL_BLOCK, ONE_POOL_QUERIES = 256, 32  # so that the one pool is cut into s
 
 
 def _decay(spark: SparkSession, sf_dir: str, metric: str, tau: float, gamma: float,
-           start: str = "anchors", z: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+           start: str = "anchors", z: tuple[DataFrame, DataFrame] | None = None, one_pool: bool = False, **blocks) -> DataFrame:
     chunks, queries = chunk_vectors(spark, sf_dir), query_vectors(spark, sf_dir)
+    if one_pool:  # the whole table as one pool
+        chunks, queries = (df.withColumn("pool_id", F.lit(0).cast("bigint")) for df in (chunks, queries))
     dims = Z_DIMS_BHAT if metric == "bhattacharyya" else Z_DIMS
     z, lam = z_standin(chunks, dims) if z is None else z
     space = M.build_space(metric, z, lam, dims)
     eps = M.calibrate_epsilon(space, 0.10, EPS_SAMPLE, EPS_SEED)
-    return decay.decay_traversal(chunks, queries, space, eps, tau, gamma, MAX_HOPS, 3, start)
+    return decay.decay_traversal(chunks, queries, space, eps, tau, gamma, MAX_HOPS, 3, start, **blocks)
 
 
 def q_decay_hops(metric: str, tau: float, gamma: float, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +49,11 @@ def q_decay_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decay(spark, sf_dir, "euclidean", TAU_MAIN, GAMMA_MAIN, start="strict")
 
 
+def q_decay_one_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table as one pool, in blocks around pivots."""
+    return _decay(spark, sf_dir, "mahalanobis", TAU_MAIN, GAMMA_MAIN, one_pool=True, block=ONE_POOL_BLOCK, query_block=ONE_POOL_QUERIES)
+
+
 def q_decay_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decay.cap_layers(_decay(spark, sf_dir, "mahalanobis", TAU_MAIN, GAMMA_MAIN), 5, 10)
 
@@ -60,6 +67,7 @@ QUERIES = {
     "decay_hops_bhattacharyya_2d": partial(q_decay_hops, "bhattacharyya", TAU_MAIN, GAMMA_MAIN),
     "decay_pca": q_decay_pca,
     "decay_strict": q_decay_strict,
+    "decay_one_pool": q_decay_one_pool,
     "decay_capped": q_decay_capped,
 }
 

@@ -71,6 +71,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed_table(df: DataFrame, keys: list[str], name: str) -> str:
+    """Write `df` once, bucketed and sorted by `keys`, into the shared folder and return its name in the catalog: joins
+    on all the keys read it where it lies. Drop the name after use (the files stay with the others there)."""
+    spark = df.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"dualspace_{name}_{uuid.uuid4().hex}"
+    (df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys)
+     .option("path", f"{checkpoint_dir(spark).rstrip('/')}/{name}").format("parquet").saveAsTable(name))
+    return name
+
+
 _shipped: set[str] = set()
 
 

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
 from dualspace.operators import metrics as M
-from dualspace.operators import search, walk
+from dualspace.operators import decay, search, walk
+from dualspace.session import cut_lineage
 from dualspace.sources.fixtures import chunk_vectors, query_vectors, z_standin
 
 
@@ -158,3 +159,52 @@ def test_walk_steps_leave_the_cells_where_they_lie(spark):
     assert not any("Exchange" in x for x in above[:join]), text
     assert step.count() == start.count()
     spark.sql(f"drop table {name}")
+
+
+def _one_pool(df):
+    return df.withColumn("pool_id", F.lit(0).cast("bigint"))
+
+
+def test_hops_are_the_same_in_one_block_in_many_and_without_pivots(spark):
+    c, q = _one_pool(chunk_vectors(spark, SF_SMALL)), _one_pool(query_vectors(spark, SF_SMALL))
+    scanned = cut_lineage(search.scan(c, q, 3, 0.85))
+    for metric, dims in (("mahalanobis", 4), ("cosine", 4), ("bhattacharyya", 2)):
+        z, lam = z_standin(c, dims)
+        space = M.build_space(metric, z, lam, dims)
+        space = M.MetricSpace(metric, cut_lineage(space.points), cut_lineage(space.state), dims)
+        eps = cut_lineage(M.calibrate_epsilon(space))
+        hops = lambda **kw: _rows(decay.decay_traversal(c, q, space, eps, 0.85, 1.1, 2, scanned=scanned, **kw), "qid", "hop", "chunk_idx")  # noqa: E731, B023
+        want = hops()
+        assert {h for _, h, _ in want} == {0, 1, 2}
+        assert hops(block=90, query_block=6) == want, metric
+        if metric == "mahalanobis":
+            assert hops(pivots=0) == want and hops(block=90, query_block=100, pivots=3) == want
+
+
+def test_pivots_save_distances_and_lose_no_pair():
+    rng = np.random.default_rng(1)
+    A, B = (np.repeat(rng.random((12, 3)) * 20, 25, axis=0) + rng.random((300, 3)) for _ in range(2))
+    B[:100] = A[:100] + 0.1
+    pivots = A[rng.choice(300, 8, replace=False)]
+    far = lambda X: M.block_distance("euclidean", X, pivots, 0.0)
+    whole, every = decay.near_matrix("euclidean", 0.0, 1.0, (A, None, None), (B, None, None))
+    some, done = decay.near_matrix("euclidean", 0.0, 1.0, (A, None, None), (B, None, None), far(A), far(B))
+    assert (whole == some).all() and whole.any() and every == 90000 and done < every / 5
+
+
+def test_cells_that_pivots_rule_out_are_never_made(spark):
+    """Two clouds far apart in one pool: no cell joins them; bitmaps number one per query block and block."""
+    rng = np.random.default_rng(2)
+    rows = [(0, i, [float(x) for x in rng.random(3) + (100 if i % 2 else 0)], 1.0) for i in range(400)]
+    pts = spark.createDataFrame(rows, "pool_id long, chunk_idx long, v array<double>, epsilon double")
+    space = M.MetricSpace("euclidean", pts.select("pool_id", "chunk_idx", "v"), spark.createDataFrame([(0, 0.0)], "pool_id long, s double"))
+    pd_ = {r.chunk_idx: np.array(r.pd) for r in decay.pivot_distances(space, 8).collect()}
+    near = {i: int(np.argmin(d)) for i, d in pd_.items()}
+    blocks = [(0, str(b), 1.0, [float(x) for i in near if near[i] == b for x in pd_[i]], [i for i in near if near[i] == b]) for b in set(near.values())]
+    df = spark.createDataFrame(blocks, "pool_id long, b string, epsilon double, pd array<double>, ids array<long>")
+    side = {b[1]: b[4][0] % 2 for b in blocks}
+    pairs = [(r.i, r.j) for r in decay.block_pairs(df, True).collect()]
+    assert all(side[i] == side[j] for i, j in pairs) and len(pairs) <= len(blocks) ** 2 - 2 * sum(side.values()) * (len(side) - sum(side.values()))
+    assert decay.block_pairs(df, False).count() == len(blocks) ** 2
+    m = rng.random((7, 13)) > 0.5
+    assert (decay._unbits(decay._bits(m), 7, 13) == m).all() and len(decay._bits(m)) == 12
