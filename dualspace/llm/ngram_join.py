@@ -7,7 +7,7 @@ documents. Two sets of similarity t or more share one of their first
 n - ceil(t n) + 1 shingles, so only these prefixes are shuffled, one row per
 shingle and set.
 
-Sets that share a prefix shingle are first held against each other by parity bits, about one bit per shingle
+Sets that share a prefix shingle are first held against each other by parity bits, about one bit per two shingles
 (a shingle flips the bit that its hash names): two sets differ in at least as many shingles as their bits
 differ, so an entry without a partner that may be similar goes. Only then do whole sets travel.
 
@@ -22,7 +22,7 @@ components and if they do not all have the same shared shingle before it (a pair
 common earlier meets there). There the sets outside the largest component meet each other and that
 component on a grid of blocks.
 
-Scale: a cell holds at most two blocks of sets. A shingle of a third of all sets is counted by map-side
+Scale: a cell holds at most two blocks of sets. A set is named by 64 bits of its hash while its prefix travels. A shingle of a third of all sets is counted by map-side
 sums and joined by a join that Spark may split; equal sets travel as one. The count table has a fixed number
 of buckets (`buckets`; raise it with the corpus, as hot shingles stand out from the mean bucket only).
 
@@ -93,9 +93,9 @@ def ordered(s, classes):
 
 
 def parity_bits(s) -> bytes:
-    """Bit k is the parity of the shingles whose hash is k modulo the number of bits, the power of two next to the set's size (64 at least)."""
+    """Bit k is the parity of the shingles whose hash is k modulo the number of bits, the power of two next to half the set's size (64 at least)."""
     import numpy as np
-    width = 1 << max(6, round(float(np.log2(len(s)))))
+    width = 1 << max(6, round(float(np.log2(len(s)))) - 1)
     at = (s >> np.uint64(20) & np.uint64(width - 1)).astype(np.int64)
     return np.packbits(np.bincount(at, minlength=width).astype(np.uint8) & 1, bitorder="little").tobytes()
 
@@ -147,7 +147,7 @@ def shingle_classes(profile: DataFrame, buckets: int):
 
 
 def _prefix_kernel(shingle: int, percent: int, classes):
-    """(tok, a, b, pos) of the first n - ceil(t n) + 1 shingles of each set."""
+    """(tok, a, pos) of the first n - ceil(t n) + 1 shingles of each set."""
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -164,12 +164,12 @@ def _prefix_kernel(shingle: int, percent: int, classes):
                 seen.add(key)
                 k = len(s) - -(-percent * len(s) // 100) + 1
                 toks.append(ordered(s, classes)[:k])
-                meta.append((*key, k))
-            m = np.array(meta, np.int64).reshape(-1, 3)
-            each = m[:, 2]
+                meta.append((key[0], k))
+            m = np.array(meta, np.int64).reshape(-1, 2)
+            each = m[:, 1]
             pos = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks)), *[pa.array(np.repeat(m[:, i], each)) for i in range(2)],
-                                              pa.array(pos.astype(np.int32))], names=["tok", "a", "b", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks)), pa.array(np.repeat(m[:, 0], each)),
+                                              pa.array(pos.astype(np.int32))], names=["tok", "a", "pos"])
     return run
 
 
@@ -459,18 +459,19 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     classes = shingle_classes(profile, buckets)
     marked = profile.where("band is null").select("doc_id", "n", "a", "b", "bits")
     body = rows.select("body")
-    entries = written(body.mapInArrow(_prefix_kernel(shingle, percent, classes), "tok long, a long, b long, pos int"), "prefixes")
-    common = entries.groupBy("tok").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo < hi").select("tok")
-    shared = entries.join(common, "tok").select("tok", "a", "b", "pos").dropDuplicates(["a", "b", "pos"])
-    by_set = Window.partitionBy("a", "b").orderBy("pos")  # a set's prefix: bounded by one text
-    shared = written(shared.select("tok", "a", "b", "pos", F.lag("tok").over(by_set).alias("prev")), "shared")
+    entries = written(body.mapInArrow(_prefix_kernel(shingle, percent, classes), "tok long, a long, pos int"), "prefixes")
+    common = entries.groupBy("tok").agg(F.min("a").alias("lo"), F.max("a").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("tok", "m")
+    common = written(common, "shared-shingles")  # m counts equal sets once per task: at least the number of sets
+    shared = entries.join(common.select("tok"), "tok").repartition("a").dropDuplicates(["a", "pos"])
+    by_set = Window.partitionBy("a").orderBy("pos")  # a set's prefix: bounded by one text
+    shared = written(shared.select("tok", "a", "pos", F.lag("tok").over(by_set).alias("prev")), "shared")
     distinct = written(marked.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "distinct-sets")
     names = ["tok", "a", "b", "pos", "prev"]
-    hot = broadcast_checked(written(shared.groupBy("tok").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > block).select("tok"), "hot-shingles"), HOT_LIST_ROWS)
-    few = shared.join(hot, "tok", "left_anti").join(distinct.select("a", "b", "n", "bits"), ["a", "b"]).select(*names, "n", "bits")
+    hot = broadcast_checked(written(common.where(F.col("m") > block).select("tok"), "hot-shingles"), HOT_LIST_ROWS)
+    few = shared.join(hot, "tok", "left_anti").join(distinct.select("a", "b", "n", "bits"), "a").select(*names, "n", "bits")
     few = few.repartition("tok").sortWithinPartitions("tok").mapInArrow(_partner_kernel(percent, names), "tok long, a long, b long, pos int, prev long")
-    many = shared.join(hot, "tok", "left_semi").select(*names)
-    met = written(few.union(many).withColumn("r", F.row_number().over(by_set)), "met")
+    many = shared.join(hot, "tok", "left_semi").join(distinct.select("a", "b"), "a").select(*names)
+    met = written(few.union(many).withColumn("r", F.row_number().over(Window.partitionBy("a", "b").orderBy("pos"))), "met")
     ids = met.where("r = 1").select("a", "b")
     sets = body.mapInArrow(_whole_kernel(shingle, classes, _bit_table(ids)), "a long, b long, toks array<long>")
     sets = written(sets.join(ids, ["a", "b"], "left_semi").dropDuplicates(["a", "b"]), "sets")
