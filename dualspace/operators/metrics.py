@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from dualspace.functions import vectors as V
-from dualspace.operators.blocks import DEFAULT_BLOCK, pair_grid, pool_counts, sample_per_pool, stack_vectors
+from dualspace.operators.blocks import DEFAULT_BLOCK, block_of, n_blocks, pair_grid, pool_counts, sample_per_pool, stack_vectors
+from dualspace.session import cut_lineage
 
 METRICS = ["mahalanobis", "euclidean", "cosine", "dot", "bhattacharyya", "rbf"]
 # fixed values: the names a metric may be called by
@@ -86,44 +87,94 @@ def rbf_gamma(z: DataFrame, sample: int = RBF_SAMPLE, seed=RBF_SEED) -> DataFram
     return s.groupBy("pool_id").applyInPandas(gamma, f"pool_id {s.schema['pool_id'].dataType.simpleString()}, s double")
 
 
+KNN_PIVOTS = 8
+KNN_SEED = 13
+
+
+def ball_blocks(z: DataFrame, block: int, pivots: int = KNN_PIVOTS, seed=KNN_SEED) -> DataFrame:
+    """(pool_id, chunk_idx, z, pd, b): blocks of at most about `block` points around one pivot each; pd are the
+    Euclidean distances to all pivots of the pool. A pool of at most `block` points is one block."""
+    pts = z.select("pool_id", "chunk_idx", "z")
+    chosen = sample_per_pool(pts, "chunk_idx", pivots, seed).groupBy("pool_id").agg(
+        F.sort_array(F.collect_list(F.struct("chunk_idx", "z"))).alias("chosen"))
+    rows = pts.join(chosen, "pool_id").join(pool_counts(pts, "n"), "pool_id").sortWithinPartitions("pool_id")
+    kind = {c: rows.schema[c].dataType.simpleString() for c in ("pool_id", "chunk_idx")}
+
+    def run(batches):
+        for pdf in batches:
+            for _, g in pdf.groupby("pool_id", sort=False):
+                P = np.array([c["z"] for c in g["chosen"].iloc[0]], dtype=np.float64)
+                d = np.sqrt(sq_dists(stack_vectors(g["z"]), P))
+                large = int(g["n"].iloc[0]) > block
+                yield pd.DataFrame({"pool_id": g["pool_id"], "chunk_idx": g["chunk_idx"], "z": g["z"], "pd": list(d),
+                                    "cluster": d.argmin(axis=1).astype(np.int32) if large else np.int32(0)})
+    near = cut_lineage(rows.mapInPandas(run, f"pool_id {kind['pool_id']}, chunk_idx {kind['chunk_idx']}, z array<double>, pd array<double>, cluster int"))
+    parts = near.groupBy("pool_id", "cluster").agg(F.count(F.lit(1)).alias("m")).select("pool_id", "cluster", n_blocks("m", block).alias("parts"))
+    return near.join(parts, ["pool_id", "cluster"]).withColumn("b", F.concat_ws("-", "cluster", block_of("chunk_idx", "parts"))).drop("cluster", "parts")
+
+
+def _k_nearest(left: pd.DataFrame, right: pd.DataFrame, most: int, bound: np.ndarray | None = None):
+    """Rows (i, j, d2) with each left point's `most` nearest right points (ties kept), none beyond its bound."""
+    d2 = sq_dists(stack_vectors(left["z"]), stack_vectors(right["z"]))
+    kth = np.full(len(d2), np.inf)
+    if d2.shape[1] >= most:
+        kth = np.partition(d2, most - 1, axis=1)[:, most - 1]
+    ii, jj = np.nonzero(d2 <= (kth if bound is None else np.minimum(kth, bound))[:, None])
+    return pd.DataFrame({"i": left["chunk_idx"].to_numpy()[ii], "j": right["chunk_idx"].to_numpy()[jj], "d2": d2[ii, jj], "kth": kth[ii]})
+
+
+def knn_cells(own: DataFrame, points: DataFrame) -> DataFrame:
+    """(pool_id, b, other): the pairs of different blocks that may hold a neighbour. `own` has each point's k-th
+    distance inside its block, `points` the blocks; a block's ranges of distances to the pivots say how near another can come."""
+    far = own.groupBy("pool_id", "b").agg(F.sqrt(F.max("kth")).alias("reach"))
+    kind = f"pool_id {points.schema['pool_id'].dataType.simpleString()}, b string, lo array<double>, hi array<double>"
+
+    def ranges(key, g: pd.DataFrame) -> pd.DataFrame:
+        d = stack_vectors(g["pd"])
+        return pd.DataFrame({"pool_id": [key[0]], "b": [key[1]], "lo": [d.min(axis=0)], "hi": [d.max(axis=0)]})
+    meta = cut_lineage(points.select("pool_id", "b", "pd").groupBy("pool_id", "b").applyInPandas(ranges, kind).join(far, ["pool_id", "b"]))
+    a = meta.select("pool_id", "b", "reach", F.col("lo").alias("lo_i"), F.col("hi").alias("hi_i"))
+    b = meta.select("pool_id", F.col("b").alias("other"), F.col("lo").alias("lo_j"), F.col("hi").alias("hi_j"))
+    gap = F.array_max(F.concat(F.zip_with("lo_i", "hi_j", lambda x, y: x - y), F.zip_with("lo_j", "hi_i", lambda x, y: x - y)))
+    return a.join(b, "pool_id").where((F.col("b") != F.col("other")) & (gap <= F.col("reach") * (1 + 1e-9) + 1e-9)).select("pool_id", "b", "other")
+
+
 def knn_graph(z: DataFrame, k: int = BHAT_K, block: int = DEFAULT_BLOCK) -> DataFrame:
     """The k nearest points of every point by squared Euclidean distance, self
     included, k clamped to max(2, min(k, N-1)); ties broken on chunk_idx.
 
-    Blocked self-join: each (pool, i-block, j-block) group keeps a local top-k per i,
-    a window over those survivors gives the exact ranks.
-    -> (pool_id, i, j, rank, d2)."""
-    from dualspace.operators.blocks import self_grid
-    pts = z.select("pool_id", "chunk_idx", "z")
-    ig, jg = self_grid(pts, "chunk_idx", block)
-    keys = ["pool_id", "lb", "rb"]
+    Points lie in ball blocks. The first round takes the neighbours inside the own block and with them a bound, the
+    k-th distance so far; the second visits only blocks that can come nearer than the farthest such bound of
+    a block (triangle inequality over the pivots) and passes on only pairs within each point's own bound. A window over the survivors gives
+    the exact ranks; every distance is the same exact formula. -> (pool_id, i, j, rank, d2)."""
     most = max(2, k)  # the clamp below asks for two neighbours at least
-
-    def kernel(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if len(left) == 0 or len(right) == 0:
-            return pd.DataFrame({"pool_id": pd.Series(dtype=object), "i": pd.Series(dtype=object),
-                                 "j": pd.Series(dtype=object), "d2": pd.Series(dtype="float64")})
-        A, B = stack_vectors(left["z"]), stack_vectors(right["z"])
-        d2 = sq_dists(A, B)
-        keep = np.ones_like(d2, dtype=bool)
-        if d2.shape[1] > most:
-            kth = np.partition(d2, most - 1, axis=1)[:, most - 1:most]
-            keep = d2 <= kth
-        ii, jj = np.nonzero(keep)
-        return pd.DataFrame({
-            "pool_id": [key[0]] * len(ii),
-            "i": left["chunk_idx"].to_numpy()[ii],
-            "j": right["chunk_idx"].to_numpy()[jj],
-            "d2": d2[ii, jj],
-        })
-
-    cand = ig.groupBy(*keys).cogroup(jg.groupBy(*keys)).applyInPandas(
-        kernel, f"pool_id {pts.schema['pool_id'].dataType.simpleString()}, "
-                f"i {pts.schema['chunk_idx'].dataType.simpleString()}, "
-                f"j {pts.schema['chunk_idx'].dataType.simpleString()}, d2 double")
+    pts = cut_lineage(ball_blocks(z, block))
+    pool, chunk = (pts.schema[c].dataType.simpleString() for c in ("pool_id", "chunk_idx"))
+    found = f"pool_id {pool}, b string, i {chunk}, j {chunk}, d2 double, kth double"
+
+    def inside(key, g: pd.DataFrame) -> pd.DataFrame:
+        out = _k_nearest(g, g, most)
+        out.insert(0, "b", key[1])
+        out.insert(0, "pool_id", key[0])
+        return out
+    own = cut_lineage(pts.select("pool_id", "b", "chunk_idx", "z").groupBy("pool_id", "b").applyInPandas(inside, found))
+    pairs = cut_lineage(knn_cells(own, pts))
+    rows = own.select("pool_id", "i", "j", "d2")
+    if pairs.limit(1).count():
+        keys, body = ["pool_id", "b", "other"], pts.select("pool_id", "b", "chunk_idx", "z")
+        bounds = own.groupBy("pool_id", F.col("i").alias("chunk_idx")).agg(F.max("kth").alias("kth"))
+        left = body.join(bounds, ["pool_id", "chunk_idx"]).join(pairs, ["pool_id", "b"])
+        right = body.withColumnRenamed("b", "other").join(pairs, ["pool_id", "other"])
+        right = right.select(*[F.col(c).alias(c) for c in right.columns])  # own lineage: both sides descend from `pts`
+
+        def across(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            out = _k_nearest(a, b, most, a["kth"].to_numpy(float)) if len(a) and len(b) else pd.DataFrame({c: pd.Series(dtype=object) for c in ("i", "j", "d2", "kth")})
+            out.insert(0, "pool_id", key[0])
+            return out[["pool_id", "i", "j", "d2"]]
+        rows = rows.union(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(across, f"pool_id {pool}, i {chunk}, j {chunk}, d2 double"))
     sizes = pool_counts(pts, "n").select(
         "pool_id", F.greatest(F.lit(2), F.least(F.lit(k), F.col("n") - 1)).alias("k_eff"))
-    ranked = cand.withColumn("rank", F.row_number().over(Window.partitionBy("pool_id", "i").orderBy("d2", "j")))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("pool_id", "i").orderBy("d2", "j")))
     return ranked.join(sizes, "pool_id").where(F.col("rank") <= F.col("k_eff")).select(
         "pool_id", "i", "j", "rank", "d2")
 

@@ -208,3 +208,20 @@ def test_cells_that_pivots_rule_out_are_never_made(spark):
     assert decay.block_pairs(df, False).count() == len(blocks) ** 2
     m = rng.random((7, 13)) > 0.5
     assert (decay._unbits(decay._bits(m), 7, 13) == m).all() and len(decay._bits(m)) == 12
+
+
+def test_knn_skips_blocks_that_cannot_hold_a_neighbour(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.random((12, 3)) * 100
+    X = [centres[i % 12] + rng.random(3) for i in range(480)]
+    X[5] = X[17]  # a tie
+    z = spark.createDataFrame([(0, i, [float(v) for v in x]) for i, x in enumerate(X)], "pool_id long, chunk_idx long, z array<double>")
+    X = np.array(X)
+    d2 = M.sq_dists(X, X)
+    want = sorted((i, int(j), r + 1) for i in range(len(X)) for r, j in enumerate(np.lexsort((np.arange(len(X)), d2[i]))[:7]))
+    for block in (60, 7, 4096):
+        assert sorted((r.i, r.j, r["rank"]) for r in M.knn_graph(z, 7, block).collect()) == want, block
+    pts = M.ball_blocks(z, 60)
+    n = pts.select("b").distinct().count()
+    own = pts.select("pool_id", "b", F.lit(2.0).alias("kth"))  # no 7th neighbour lies farther than sqrt(2)
+    assert n > 7 and M.knn_cells(own, pts).count() < n * (n - 1) / 2
