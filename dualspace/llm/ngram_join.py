@@ -7,7 +7,7 @@ documents. Two sets of similarity t or more share one of their first
 n - ceil(t n) + 1 shingles, so only these prefixes are shuffled, one row per
 shingle and set.
 
-Sets that share a prefix shingle are first held against each other by parity bits, about one bit per two shingles
+Sets that share a prefix shingle are first held against each other by parity bits, about one bit per shingle
 (a shingle flips the bit that its hash names): two sets differ in at least as many shingles as their bits
 differ, so an entry without a partner that may be similar goes. Only then do whole sets travel.
 
@@ -93,9 +93,9 @@ def ordered(s, classes):
 
 
 def parity_bits(s) -> bytes:
-    """Bit k is the parity of the shingles whose hash is k modulo the number of bits, the power of two next to half the set's size (64 at least)."""
+    """Bit k is the parity of the shingles whose hash is k modulo the number of bits, the power of two next to the set's size (64 at least)."""
     import numpy as np
-    width = 1 << max(6, round(float(np.log2(len(s)))) - 1)
+    width = 1 << max(6, round(float(np.log2(len(s)))))
     at = (s >> np.uint64(20) & np.uint64(width - 1)).astype(np.int64)
     return np.packbits(np.bincount(at, minlength=width).astype(np.uint8) & 1, bitorder="little").tobytes()
 
@@ -460,14 +460,13 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     marked = profile.where("band is null").select("doc_id", "n", "a", "b", "bits")
     body = rows.select("body")
     entries = written(body.mapInArrow(_prefix_kernel(shingle, percent, classes), "tok long, a long, pos int"), "prefixes")
-    common = entries.groupBy("tok").agg(F.min("a").alias("lo"), F.max("a").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("tok", "m")
-    common = written(common, "shared-shingles")  # m counts equal sets once per task: at least the number of sets
-    shared = entries.join(common.select("tok"), "tok").repartition("a").dropDuplicates(["a", "pos"])
+    common = entries.groupBy("tok").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo < hi").select("tok")
+    shared = entries.join(common, "tok").repartition("a").dropDuplicates(["a", "pos"])
     by_set = Window.partitionBy("a").orderBy("pos")  # a set's prefix: bounded by one text
     shared = written(shared.select("tok", "a", "pos", F.lag("tok").over(by_set).alias("prev")), "shared")
     distinct = written(marked.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "distinct-sets")
     names = ["tok", "a", "b", "pos", "prev"]
-    hot = broadcast_checked(written(common.where(F.col("m") > block).select("tok"), "hot-shingles"), HOT_LIST_ROWS)
+    hot = broadcast_checked(written(shared.groupBy("tok").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > block).select("tok"), "hot-shingles"), HOT_LIST_ROWS)
     few = shared.join(hot, "tok", "left_anti").join(distinct.select("a", "b", "n", "bits"), "a").select(*names, "n", "bits")
     few = few.repartition("tok").sortWithinPartitions("tok").mapInArrow(_partner_kernel(percent, names), "tok long, a long, b long, pos int, prev long")
     many = shared.join(hot, "tok", "left_semi").join(distinct.select("a", "b"), "a").select(*names)
