@@ -31,3 +31,11 @@ def broadcast_checked(df: DataFrame, max_rows: int) -> DataFrame:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, or if `df` has a column of that name (in any case), the name with as many underscores before it as it takes."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

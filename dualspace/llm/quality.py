@@ -16,7 +16,8 @@ smallest hashed id); scoring reads every whole text in one pass, without a shuff
 
 Defined cases: a null or empty text is scored as the empty text; other columns
 (also of clashing names) are ignored; repeated rows get equal scores; a null doc_id
-is scored, never trained on, and not held out. Without any positive the
+is scored, never trained on, and not held out; of an id on several rows the fit takes the
+smallest text, so its limits hold for rows; texts of any length are read whole. Without any positive the
 score is the prior 0.5 for all; an empty table gives no rows.
 """
 
@@ -167,26 +168,29 @@ def train(docs: DataFrame, labels: DataFrame, max_positives: int = MAX_POSITIVES
     ids = first(own(labels.where(F.col(label) == 1)), max_positives).withColumn("positive", F.lit(True)).union(
         first(own(docs), max_unlabelled).withColumn("positive", F.lit(False)))
     texts = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("body")).join(F.broadcast(ids), "k")  # at most both limits
-    rows = texts.select("k", "positive", "body").mapInArrow(
+    single = texts.groupBy("k", "positive").agg(F.min("body").alias("body"))  # of a repeated id one text, so the limits hold for rows
+    rows = single.select("k", "positive", "body").mapInArrow(
         _feature_kernel, f"k {dict(docs.dtypes)[key]}, positive boolean, x array<double>").orderBy("k", "positive").toPandas()
     x = np.array(rows["x"].tolist(), dtype=np.float64).reshape(-1, len(FEATURES))
     positive = rows["positive"].to_numpy(dtype=bool)
     return fit(x[positive], x[~positive]) if len(rows) else Model(np.zeros((len(FEATURES), 1)), np.zeros(2 * len(FEATURES)), 0.0, 0.5)
 
 
-def _score_kernel(model: Model, text_at: int):
+def _score_kernel(model: Model, text_at: int, column: str):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         for b in batches:
             x = np.array([features(t or "") for t in b.column(text_at).to_pylist()], np.float64).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(x))], names=[*b.schema.names, "_ds_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(x))], names=[*b.schema.names, column])
     return run
 
 
-def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """`docs` with a column _ds_score: 0 to 1, higher for likelier label 1."""
-    schema = StructType([*docs.schema.fields, StructField("_ds_score", DoubleType())])
-    return docs.mapInArrow(_score_kernel(model, docs.columns.index(text)), schema)
+def scored(docs: DataFrame, model: Model, text: str = "text", column: str = "_ds_score") -> DataFrame:
+    """`docs` with a last column `column`, which they must not have (`common.free_name` finds one): 0 to 1, higher for likelier label 1."""
+    if column.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"the input has a column {column!r}; name another one for the score")
+    schema = StructType([*docs.schema.fields, StructField(column, DoubleType())])
+    return docs.mapInArrow(_score_kernel(model, docs.columns.index(text), column), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dualspace.llm.common import scratch_path, text_or_empty
+from dualspace.llm.common import free_name, scratch_path, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -175,11 +175,11 @@ def redact(versions: DataFrame, ledger_path: str, rules: Sequence[Rule] = RULES,
     findings become one mask; texts without findings (null too) stay as they are. Row count,
     columns and their types stay; a text column that is no string is not supported."""
     scan_unseen(versions, ledger_path, rules, text)
-    hits = blob_findings(versions.sparkSession, ledger_path, rules).withColumnsRenamed(
-        {"blob": "_ds_blob", "findings": "_ds_findings"})
-    joined = (versions.withColumn("_ds_blob", blob_id(text)).join(hits, "_ds_blob", "left").drop("_ds_blob"))
+    blob, found = free_name(versions, "_ds_blob"), free_name(versions, "_ds_findings")
+    hits = blob_findings(versions.sparkSession, ledger_path, rules).withColumnsRenamed({"blob": blob, "findings": found})
+    joined = versions.withColumn(blob, blob_id(text)).join(hits, blob, "left").drop(blob)
     cols = joined.columns
-    return joined.mapInArrow(_mask_kernel(mask, cols.index(text), cols.index("_ds_findings")), versions.schema)
+    return joined.mapInArrow(_mask_kernel(mask, cols.index(text), cols.index(found)), versions.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

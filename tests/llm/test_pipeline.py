@@ -61,3 +61,14 @@ def test_near_duplicates_keep_null_and_repeated_ids_of_unlike_texts(spark):
         got = [tuple(r) for r in corpus_pipeline.near_duplicate_stage(spark, given, "").collect()]
         assert sorted(t or "" for _, t, _ in got) == sorted([*texts, ""])  # one row of each component
         assert {(5, texts[2], "a"), (5, texts[3], "a"), (7, texts[0], "b"), (None, texts[1], "a")} <= set(got)
+
+
+def test_stages_keep_columns_of_any_name(spark, docs, tmp_path):
+    odd = ["_ds_score", "_ds_text", "_ds_row", "_ds_id", "_ds_blob", "_ds_findings", "_ds_entry", "slot", "phase"]
+    named = docs.selectExpr("*", *[f"concat('{n}', doc_id) as {n}" for n in odd])
+    docs.selectExpr("doc_id", "1 as quality", "0 as toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, named, str(tmp_path))
+        assert out.columns == named.columns
+        assert all(r[n] == (None if r["doc_id"] is None else f"{n}{r['doc_id']}") for r in out.collect() for n in odd)
+    assert corpus_pipeline.STAGES[-1][1](spark, named, str(tmp_path)).count() >= docs.count()

@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 
 from dualspace.llm import quality as Q
+from dualspace.llm.common import free_name
 
 
 def make(rng, good):
@@ -38,3 +39,18 @@ def test_defined_cases(spark, docs, empty):
     assert {r["_ds_score"] for r in Q.scored(docs, model).select("_ds_score").collect()} == {0.5}
     assert Q.scored(empty, Q.train(empty, none)).count() == 0
     assert np.isfinite(Q.features("")).all() and np.isfinite(Q.features("\ud800 \n\n x")).all()
+
+
+def test_repeated_and_null_ids_and_clashing_columns(spark):
+    rng = random.Random(9)
+    rows = [(i, make(rng, i % 3 != 0)) for i in range(300)]
+    hot = [(1, t) for _, t in rows[:200]] + [(None, rows[0][1])] * 50
+    labels = spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(300)], "doc_id long, quality int")
+    frame = lambda r: spark.createDataFrame(r, "doc_id long, text string")
+    least = min([rows[1][1]] + [t for i, t in hot if i == 1])
+    once = Q.train(frame([(i, least if i == 1 else t) for i, t in rows]), labels)
+    many = Q.train(frame(rows + hot), labels)  # the repeats of id 1 count once, null ids not at all
+    assert np.allclose(once.score(np.array([Q.features(t) for _, t in rows])), many.score(np.array([Q.features(t) for _, t in rows])))
+    clash = frame(rows).selectExpr("*", "1 as _ds_score", "2 as k", "3 as body", "true as positive")
+    out = Q.scored(clash, Q.train(clash, labels), column=free_name(clash, "_DS_SCORE"))
+    assert out.columns == [*clash.columns, "__DS_SCORE"] and out.where("_ds_score = 1 and __DS_SCORE between 0 and 1").count() == 300
