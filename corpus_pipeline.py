@@ -6,7 +6,7 @@ reads it again for the next.
 
 The stages' cases are those of their operators: null and empty texts, repeated
 rows, ties, empty tables and further columns pass through each stage. All
-but the last return the columns of their input.
+but the last return the columns of their input, whatever these are called.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dualspace.llm import mixing, packing, quality, secret_scan, simhash
-from dualspace.llm.common import scratch_path, text_or_empty, written
+from dualspace.llm.common import free_name, scratch_path, text_or_empty, written
 from dualspace.session import ship_package
 
 
@@ -23,7 +23,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents whose quality score reaches the threshold stay; trained on `labels`."""
     ship_package(spark)
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
-    kept = quality.scored(docs, quality.train(docs, labels)).where(F.col("_ds_score") >= quality.THRESHOLD)
+    score = free_name(docs, "_ds_score")
+    kept = quality.scored(docs, quality.train(docs, labels), column=score).where(F.col(score) >= quality.THRESHOLD)
     return kept.select(*docs.columns)
 
 
@@ -36,10 +37,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"),
                    F.unhex(F.sha2(text_or_empty(), 256)).alias("text"), F.xxhash64(*hashed).alias("row"))
     classes = simhash.near_duplicates(docs.withColumn("_ds_key", key), key="_ds_key")
-    stay = classes.select("component_id.*").distinct().select("id", F.col("text").alias("_ds_text"), F.col("row").alias("_ds_row"))
-    rows = docs.withColumns({"_ds_text": key["text"], "_ds_row": key["row"]})
-    kept = rows.join(stay.withColumnRenamed("id", "_ds_id"), ["_ds_text", "_ds_row"]).where(F.col("doc_id").eqNullSafe(F.col("_ds_id")))
-    return kept.dropDuplicates(["doc_id", "_ds_text", "_ds_row"]).select(*docs.columns)
+    doc, text, row = (free_name(docs, f"_ds_{n}") for n in ("id", "text", "row"))
+    stay = classes.select("component_id.*").distinct().select(F.col("id").alias(doc), F.col("text").alias(text), F.col("row").alias(row))
+    rows = docs.withColumns({text: key["text"], row: key["row"]})
+    kept = rows.join(stay, [text, row]).where(F.col("doc_id").eqNullSafe(F.col(doc)))
+    return kept.dropDuplicates(["doc_id", text, row]).select(*docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
