@@ -30,7 +30,9 @@ def q_tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _retrieval(spark, sf_dir, k=5):
+    from dualspace.session import cut_lineage
     corpus, tc, vocab = _fit(spark, sf_dir)
+    vocab = cut_lineage(vocab)   # read for the documents and for the items
     items = read_table(spark, sf_dir, "benchmark", ["item_id", "text"])
     dv = tfidf.transform_tfidf(corpus, vocab, counts=tc)
     qv = tfidf.transform_tfidf(items, vocab, key="item_id")
