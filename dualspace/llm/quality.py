@@ -16,8 +16,8 @@ smallest hashed id); scoring reads every whole text in one pass, without a shuff
 
 Defined cases: a null or empty text is scored as the empty text; other columns
 (also of clashing names) are ignored; repeated rows get equal scores; a null doc_id
-is scored, never trained on, and not held out; of an id on several rows the fit takes the
-smallest text, so its limits hold for rows; texts of any length are read whole. Without any positive the
+is scored, never trained on, and not held out; of an id on several rows the fit takes
+one, that of the smallest statistics, so its limits hold for rows; texts of any length are read whole. Without any positive the
 score is the prior 0.5 for all; an empty table gives no rows.
 """
 
@@ -168,9 +168,10 @@ def train(docs: DataFrame, labels: DataFrame, max_positives: int = MAX_POSITIVES
     ids = first(own(labels.where(F.col(label) == 1)), max_positives).withColumn("positive", F.lit(True)).union(
         first(own(docs), max_unlabelled).withColumn("positive", F.lit(False)))
     texts = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("body")).join(F.broadcast(ids), "k")  # at most both limits
-    single = texts.groupBy("k", "positive").agg(F.min("body").alias("body"))  # of a repeated id one text, so the limits hold for rows
-    rows = single.select("k", "positive", "body").mapInArrow(
-        _feature_kernel, f"k {dict(docs.dtypes)[key]}, positive boolean, x array<double>").orderBy("k", "positive").toPandas()
+    rows = texts.select("k", "positive", "body").mapInArrow(
+        _feature_kernel, f"k {dict(docs.dtypes)[key]}, positive boolean, x array<double>")
+    # of a repeated id one row, so that the limits hold for rows
+    rows = rows.groupBy("k", "positive").agg(F.min("x").alias("x")).orderBy("k", "positive").toPandas()
     x = np.array(rows["x"].tolist(), dtype=np.float64).reshape(-1, len(FEATURES))
     positive = rows["positive"].to_numpy(dtype=bool)
     return fit(x[positive], x[~positive]) if len(rows) else Model(np.zeros((len(FEATURES), 1)), np.zeros(2 * len(FEATURES)), 0.0, 0.5)

@@ -47,7 +47,7 @@ def test_repeated_and_null_ids_and_clashing_columns(spark):
     hot = [(1, t) for _, t in rows[:200]] + [(None, rows[0][1])] * 50
     labels = spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(300)], "doc_id long, quality int")
     frame = lambda r: spark.createDataFrame(r, "doc_id long, text string")
-    least = min([rows[1][1]] + [t for i, t in hot if i == 1])
+    least = min([rows[1][1]] + [t for i, t in hot if i == 1], key=lambda t: list(Q.features(t)))
     once = Q.train(frame([(i, least if i == 1 else t) for i, t in rows]), labels)
     many = Q.train(frame(rows + hot), labels)  # the repeats of id 1 count once, null ids not at all
     assert np.allclose(once.score(np.array([Q.features(t) for _, t in rows])), many.score(np.array([Q.features(t) for _, t in rows])))
