@@ -5,7 +5,8 @@ is the global one: rare classes first. A shingle's class is the binary logarithm
 far the bucket it counts in lies above the mean bucket, from one count table over all
 documents. Two sets of similarity t or more share one of their first
 n - ceil(t n) + 1 shingles, so only these prefixes are shuffled, one row per
-shingle and set.
+shingle and set. One exchange drops the shingles of a single set; those above class 0, which may be
+frequent, pass it unjudged, each row on its own, so that no task gathers them.
 
 Sets that share a prefix shingle are first held against each other by parity bits, about one bit per shingle
 (a shingle flips the bit that its hash names): two sets differ in at least as many shingles as their bits
@@ -459,9 +460,11 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     classes = shingle_classes(profile, buckets)
     marked = profile.where("band is null").select("doc_id", "n", "a", "b", "bits")
     body = rows.select("body")
-    entries = written(body.mapInArrow(_prefix_kernel(shingle, percent, classes), "tok long, a long, pos int"), "prefixes")
-    common = entries.groupBy("tok").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo < hi").select("tok")
-    shared = entries.join(common, "tok").repartition("a").dropDuplicates(["a", "pos"])
+    entries = body.mapInArrow(_prefix_kernel(shingle, percent, classes), "tok long, a long, pos int")
+    frequent = F.col("tok") >= 1 << _HASH_BITS  # above class 0: not held together, not looked at
+    together = Window.partitionBy("tok", F.when(frequent, F.col("a")))  # at most twice the mean bucket
+    entries = entries.withColumns({"lo": F.min("a").over(together), "hi": F.max("a").over(together)})
+    shared = entries.where(frequent | (F.col("lo") < F.col("hi"))).select("tok", "a", "pos").repartition("a").dropDuplicates(["a", "pos"])
     by_set = Window.partitionBy("a").orderBy("pos")  # a set's prefix: bounded by one text
     shared = written(shared.select("tok", "a", "pos", F.lag("tok").over(by_set).alias("prev")), "shared")
     distinct = written(marked.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "distinct-sets")
