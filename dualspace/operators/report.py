@@ -120,22 +120,39 @@ def cell_summary(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
-def running_means(df: DataFrame, order: str = "seq", block: int = 65536) -> DataFrame:
+def _measures(df: DataFrame, *extra) -> DataFrame:
+    return df.select(*CELL, "f1", F.coalesce(_nan_null("judge"), F.lit(0.0)).alias("_j"),
+                     F.col("n_retrieved").cast("double").alias("_r"), *extra)
+
+
+def _totals(x: DataFrame, *keys: str) -> DataFrame:
+    return x.groupBy(*CELL, *keys).agg(F.count(F.lit(1)).alias("_tn"), F.sum("f1").alias("_tf"),
+                                       F.sum("_j").alias("_tj"), F.sum("_r").alias("_tr"))
+
+
+TOTALS = ("_tn", "_tf", "_tj", "_tr")
+
+
+def running_totals(df: DataFrame) -> DataFrame:
+    """What running_means takes as `earlier`: per 5-key cell the count and the sums of its records."""
+    return _totals(_measures(df))
+
+
+def running_means(df: DataFrame, order: str = "seq", block: int = 65536, earlier: DataFrame | None = None) -> DataFrame:
     """G5 (batch twin): running mean of f1, judge (NULL as 0) and n_retrieved per
-    5-key cell in `order` order.
+    5-key cell in `order` order; `earlier` holds the totals of records that came before all of `df`.
 
     Skew-safe prefix sums: rows are cut into `order` ranges of `block`; each
     range is summed (map-side partial aggregate), the few range totals get an
     exclusive running sum per cell, and the in-range running sums are windows
     over (cell, range) — no cell is ever sorted in a single task."""
-    x = df.select(*CELL, order, "f1", F.coalesce(_nan_null("judge"), F.lit(0.0)).alias("_j"),
-                  F.col("n_retrieved").cast("double").alias("_r"),
-                  F.floor(F.col(order) / block).alias("_b"))
-    tot = x.groupBy(*CELL, "_b").agg(F.count(F.lit(1)).alias("_tn"), F.sum("f1").alias("_tf"),
-                                     F.sum("_j").alias("_tj"), F.sum("_r").alias("_tr"))
+    x = _measures(df, order, F.floor(F.col(order) / block).alias("_b"))
+    tot = _totals(x, "_b")
+    if earlier is not None:
+        tot = tot.unionByName(earlier.select(*CELL, F.lit(-(1 << 62)).alias("_b"), *TOTALS))
     before = Window.partitionBy(*CELL).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(*CELL, "_b", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_o{c[2:]}")
-                                    for c in ("_tn", "_tf", "_tj", "_tr")])
+                                    for c in TOTALS])
     w = Window.partitionBy(*CELL, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     j = x.join(off, CELL + ["_b"])
     n = F.col("_on") + F.count(F.lit(1)).over(w)

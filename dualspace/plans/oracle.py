@@ -707,6 +707,9 @@ SQL["stream_cell_means"] = RES + """select dataset, embedder, metric, strategy,
   avg(f1) as running_f1, avg(coalesce(judge, 0.0)) as running_judge, avg(n_retrieved) as running_retrieved
   from res group by all"""
 
+# the stream's means of every record are those of the batch
+SQL["stream_running_means"] = SQL["running_means"]
+
 # DuckDB counts in BIGINT; these columns are integers in the plans
 for _name, _column in (("naive_topk", "rank"), ("tfidf_weights", "idx"), ("tfidf_topk", "rank"), ("judge_keys", "prompt_chars"),
                        ("evidence_link", "rank"), ("decay_capped", "rank"), ("ppr_topk", "rank"), ("vector_store_misses", "chars"),

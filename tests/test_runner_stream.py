@@ -4,10 +4,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tests.conftest import SF_SMALL
-from dualspace.operators import runner, store
+from dualspace.operators import report, runner, store
 from dualspace.session import checkpoint_dir
 from dualspace.sources.fixtures import chunk_vectors, gold_support, query_vectors
-from dualspace.streaming.running import start_incremental_embedding
+from dualspace.sources.results import CELL, results_log
+from dualspace.streaming.running import RunningMeans, start_incremental_embedding
 
 
 def test_evaluate_cells_end_to_end(spark):
@@ -49,6 +50,44 @@ def test_incremental_embedding_stream(spark):
     assert st[0]["rows"] == 7          # every distinct text embedded once across micro-batches
 
 
+def _means(df):
+    return sorted((tuple(r[c] for c in CELL), r["seq"], r["running_f1"], r["running_judge"], r["running_retrieved"]) for r in df.collect())
+
+
+def test_running_means_of_each_record_arrive_once(spark):
+    log = results_log(spark, SF_SMALL)
+    cut = log.agg(F.expr("percentile_approx(seq, array(0.3, 0.6))")).first()[0]
+    parts = [log.where(F.col("seq") < cut[0]), log.where((F.col("seq") >= cut[0]) & (F.col("seq") < cut[1])), log.where(F.col("seq") >= cut[1])]
+    base = f"{checkpoint_dir(spark)}/g5-{uuid.uuid4().hex}"
+    sink = RunningMeans(f"{base}/means", block=37)
+    for p in parts:  # the stream stops after each arrival and goes on from its checkpoint
+        p.write.mode("append").parquet(f"{base}/src")
+        sink.start(spark, f"{base}/src", log.schema, f"{base}/ckpt").awaitTermination()
+    whole = _means(report.running_means(log))
+    assert _means(sink.read(spark)) == whole
+    sink.batch(parts[2], 2)  # run again: after all was written, and with another block size
+    assert _means(sink.read(spark)) == whole
+    RunningMeans(f"{base}/means", block=1000).batch(parts[1], 1)
+    assert _means(sink.read(spark)) == whole
+
+
+def test_an_epoch_without_totals_does_not_count(spark):
+    log = results_log(spark, SF_SMALL)
+    base = f"{checkpoint_dir(spark)}/g5-{uuid.uuid4().hex}"
+    half = log.agg(F.expr("percentile_approx(seq, 0.5)")).first()[0]
+    one, two = log.where(F.col("seq") < half), log.where(F.col("seq") >= half)
+    sink = RunningMeans(base)
+    sink.batch(one, 0)
+    before = _means(sink.read(spark))
+    report.running_means(two).write.parquet(f"{base}/records/epoch=1")  # a crash between the two writes
+    assert _means(sink.read(spark)) == before
+    sink.batch(two, 1)
+    sink.batch(log.limit(0), 2)  # nothing arrived: the totals stay
+    assert _means(sink.read(spark)) == _means(report.running_means(log))
+    sink.batch(log.where("seq is null"), 3)
+    assert spark.read.parquet(f"{base}/totals/epoch=3").agg(F.sum("_tn")).first()[0] == log.count()
+
+
 def test_failing_answer_function_gives_error_rows(spark):
     c, q = chunk_vectors(spark, SF_SMALL), query_vectors(spark, SF_SMALL)
     questions = q.select("qid", "pool_id", F.col("qid").cast("string").alias("query"), F.lit("x").alias("gold_answer"))
