@@ -62,6 +62,19 @@ def q_local_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(df, "c11", "c12", "c22", "logdet")
 
 
+def q_local_cov_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The upper triangle of each local covariance over three sums of coordinates."""
+    z, lam = z_standin(all_vectors(spark, sf_dir), 3)
+    at = {f"c{r + 1}{c + 1}": F.col("cov")[3 * r + c] for r in range(3) for c in range(r, 3)}
+    df = M.local_covariance(z, lam, 3).select("pool_id", "chunk_idx", *[v.alias(k) for k, v in at.items()], "logdet")
+    return rounded(df, *at, "logdet")
+
+
+def q_dist_bhattacharyya_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances from every row to every other row of its pool."""
+    return rounded(M.reference_distances(_space(spark, sf_dir, "bhattacharyya", 3), all_vectors(spark, sf_dir)), "d")
+
+
 QUERIES = {
     "dist_cosine": partial(q_dist, "cosine"),
     "dist_euclidean": partial(q_dist, "euclidean"),
@@ -75,4 +88,6 @@ QUERIES = {
     "knn_graph_one_pool": partial(q_knn_graph, True),
     "one_pool_samples": q_one_pool_samples,
     "local_cov": q_local_cov,
+    "local_cov_3d": q_local_cov_3d,
+    "dist_bhattacharyya_3d": q_dist_bhattacharyya_3d,
 }

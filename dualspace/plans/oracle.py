@@ -73,7 +73,7 @@ def sql_dot(a: str, b: str, n: int) -> str:
 
 def z_coordinate(k: int, n: int) -> str:
     """Coordinate k of the supplied space of n dimensions, before centring."""
-    return _sum([f"x[{j}]" for j in range(k, 65, 2)]) if n == 2 else f"x[{k}]"
+    return _sum([f"x[{j}]" for j in range(k, 65, n)]) if n in (2, 3) else f"x[{k}]"
 
 
 def z_ctes(n: int) -> str:
@@ -209,6 +209,40 @@ join lcovd cj on cj.pool_id = p.pool_id and cj.chunk_idx = p.j
 """
 
 
+# three dimensions: the covariances by their upper triangles, S = LDL' by elimination
+TRIANGLE = [(1, 1), (1, 2), (1, 3), (2, 2), (2, 3), (3, 3)]
+LOCAL_COV3 = f""",
+lcov0 as (select k.pool_id, k.i as chunk_idx, {', '.join(f'covar_samp(z.z[{r}], z.z[{c}]) as a{r}{c}' for r, c in TRIANGLE)}
+          from knn k join z on z.pool_id = k.pool_id and z.chunk_idx = k.j group by k.pool_id, k.i),
+lcov as (select l.pool_id, l.chunk_idx,
+           {', '.join(f'coalesce(a{r}{c}, s.v{r}) + 1e-6 as c{r}{c}' if r == c else f'coalesce(a{r}{c}, 0.0) as c{r}{c}' for r, c in TRIANGLE)}
+         from lcov0 l join zstat s on l.pool_id = s.pool_id)"""
+
+
+def eliminated(name: str, source: str) -> str:
+    """`source` (c11 .. c33) with the factors of its matrices: pivots c11, p2, p3, multipliers l21, l31, l32, and logdet."""
+    return f""",
+{name}1 as (select *, c12 / c11 as l21, c13 / c11 as l31, c22 - c12 * c12 / c11 as p2 from {source}),
+{name}2 as (select *, (c23 - c13 * l21) / p2 as l32 from {name}1),
+{name}3 as (select *, c33 - c13 * l31 - l32 * l32 * p2 as p3 from {name}2),
+{name} as (select *, ln(c11) + ln(p2) + ln(p3) as logdet from {name}3)"""
+
+
+KNN3 = ALL + z_ctes(3) + knn_ctes(3) + LOCAL_COV3 + eliminated("lcovd", "lcov")
+SQL["local_cov_3d"] = KNN3 + " select pool_id, chunk_idx, " + ", ".join(f"round(c{r}{c}, 6) as c{r}{c}" for r, c in TRIANGLE) + """,
+  round(logdet, 6) as logdet from lcovd"""
+SQL["dist_bhattacharyya_3d"] = KNN3 + f""",
+mean as (select zi.pool_id, ci.chunk_idx as i, cj.chunk_idx as j, (ci.logdet + cj.logdet) / 2 as own,
+           {', '.join(f'zi.z[{k}] - zj.z[{k}] as x{k}' for k in (1, 2, 3))},
+           {', '.join(f'(ci.c{r}{c} + cj.c{r}{c}) / 2 as c{r}{c}' for r, c in TRIANGLE)}
+         from z zi join z zj on zj.pool_id = zi.pool_id and zj.chunk_idx <> zi.chunk_idx
+         join lcovd ci on ci.pool_id = zi.pool_id and ci.chunk_idx = zi.chunk_idx
+         join lcovd cj on cj.pool_id = zj.pool_id and cj.chunk_idx = zj.chunk_idx)""" + eliminated("half", "mean") + """,
+solved as (select *, x2 - l21 * x1 as y2 from half),
+quad as (select *, x1 * x1 / c11 + y2 * y2 / p2 + (x3 - l31 * x1 - l32 * y2) ** 2 / p3 as q from solved)
+select pool_id, i, j, round(greatest(q / 8 + (logdet - own) / 2, 0.0), 6) as d from quad"""
+
+
 # -- decay traversal, unrolled hop by hop --------------------------------------
 def decay_sql(metric: str, tau: float, gamma: float, start: str = "anchors", hops: int = 2) -> str:
     if metric == "bhattacharyya":

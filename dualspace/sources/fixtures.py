@@ -65,14 +65,14 @@ def z_standin(chunks: DataFrame, dims: int = 64) -> tuple[DataFrame, DataFrame]:
     """A supplied structural space with an exact SQL twin, made of whole vectors.
 
     With `dims` 64, z_k = x[k] - avg_pool(x[k]) for every coordinate (1-based as in SQL);
-    with `dims` 2, the same of the sums of the odd and of the even coordinates.
+    with `dims` 2 or 3, the same of the sums of every second or third coordinate.
     lam_k = var_samp_pool of the same. Returns (z(pool_id, chunk_idx, z), lam(pool_id, lam)).
     Pool state is a partial aggregate joined back on pool_id, so a hot pool is
     aggregated map-side instead of landing on one task.
     """
-    if dims == 2:
-        half = lambda odd: F.aggregate(F.filter("x", lambda _, i: i % 2 == odd), F.lit(0.0), lambda a, v: a + v)
-        cols = [half(0).alias("x1"), half(1).alias("x2")]
+    if dims in (2, 3):
+        part = lambda k: F.aggregate(F.filter("x", lambda _, i: i % dims == k), F.lit(0.0), lambda a, v: a + v)
+        cols = [part(k).alias(f"x{k + 1}") for k in range(dims)]
     else:
         cols = [F.col("x")[k - 1].alias(f"x{k}") for k in range(1, dims + 1)]
     flat = chunks.select("pool_id", "chunk_idx", *cols)
