@@ -88,6 +88,7 @@ def rbf_gamma(z: DataFrame, sample: int = RBF_SAMPLE, seed=RBF_SEED) -> DataFram
 
 
 KNN_PIVOTS = 8
+KNN_CELL = 16_384  # points of a side of a cell
 KNN_SEED = 13
 
 
@@ -113,14 +114,76 @@ def ball_blocks(z: DataFrame, block: int, pivots: int = KNN_PIVOTS, seed=KNN_SEE
     return near.join(parts, ["pool_id", "cluster"]).withColumn("b", F.concat_ws("-", "cluster", block_of("chunk_idx", "parts"))).drop("cluster", "parts")
 
 
-def _k_nearest(left: pd.DataFrame, right: pd.DataFrame, most: int, bound: np.ndarray | None = None):
-    """Rows (i, j, d2) with each left point's `most` nearest right points (ties kept), none beyond its bound."""
-    d2 = sq_dists(stack_vectors(left["z"]), stack_vectors(right["z"]))
-    kth = np.full(len(d2), np.inf)
-    if d2.shape[1] >= most:
-        kth = np.partition(d2, most - 1, axis=1)[:, most - 1]
-    ii, jj = np.nonzero(d2 <= (kth if bound is None else np.minimum(kth, bound))[:, None])
-    return pd.DataFrame({"i": left["chunk_idx"].to_numpy()[ii], "j": right["chunk_idx"].to_numpy()[jj], "d2": d2[ii, jj], "kth": kth[ii]})
+def _near_pairs(A: np.ndarray, B: np.ndarray, most: int, bound: np.ndarray | None, cells: int = 4_000_000):
+    """(row of A, row of B, d2) of a few pairs more than those within each row's bound (None: than its `most` nearest). A product in
+    single precision, with a margin over its rounding, says which pairs these may be; their distances come from exact differences."""
+    na, nb = (np.einsum("ij,ij->i", X, X) for X in (A, B))
+    far = np.sqrt(nb.max(initial=0.0))
+    plain = not (np.isfinite(na).all() and np.isfinite(far) and (np.sqrt(na) + far).max(initial=0.0) < 1e15)
+    a32, b32, nb32 = A.astype(np.float32), B.astype(np.float32), nb.astype(np.float32)
+    margin = 2.4e-7 * (A.shape[1] + 16) * (np.sqrt(na) + far) ** 2
+    out, step = [], max(1, cells // max(len(B), 1))
+    for at in range(0, len(A), step):
+        part = slice(at, at + step)
+        if plain:
+            near, slack = sq_dists(A[part], B), np.zeros(len(A[part]))
+        else:
+            near, slack = a32[part] @ b32.T, margin[part]
+            near *= np.float32(-2)
+            near += nb32
+            near += na[part, None].astype(np.float32)
+        if bound is not None:
+            limit = bound[part] + slack
+        else:
+            limit = np.partition(near, most - 1, axis=1)[:, most - 1] + 2 * slack if near.shape[1] >= most else np.full(len(near), np.inf)
+        ii, jj = np.nonzero(near <= limit[:, None])
+        for n in range(0, len(ii), max(1, cells // max(A.shape[1], 1))):
+            i, j = (x[n:n + max(1, cells // max(A.shape[1], 1))] for x in (ii, jj))
+            diff = A[at + i] - B[j]
+            out.append((at + i, j, np.einsum("ij,ij->i", diff, diff)))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, int), np.empty(0, int), np.empty(0))
+
+
+def _first(rows: int, most: int, ii, jj, d2, bound: np.ndarray | None = None):
+    """Of pairs (row, rank of the other id, d2) each row's `most` first by (d2, rank), none beyond its bound; and the rows'
+    `most`-th distances, infinite where there are fewer pairs."""
+    inside = d2 <= (np.inf if bound is None else bound[ii])
+    ii, jj, d2 = ii[inside], jj[inside], d2[inside]
+    order = np.lexsort((jj, d2, ii))
+    ii, jj, d2 = ii[order], jj[order], d2[order]
+    n = np.bincount(ii, minlength=rows)
+    starts = np.cumsum(n) - n
+    kth = np.full(rows, np.inf)
+    full = n >= most
+    kth[full] = d2[starts[full] + most - 1]
+    keep = np.arange(len(ii)) - starts[ii] < most
+    return ii[keep], jj[keep], d2[keep], kth
+
+
+def _k_nearest(left: pd.DataFrame, right: pd.DataFrame, most: int, bound: np.ndarray | None = None, chunk: int = DEFAULT_BLOCK):
+    """Rows (i, j, d2) with each left point's `most` nearest right points (ties to the smaller id), none beyond its bound. With bounds,
+    `chunk` right points at a time: left points whose distances to the pivots say that none of them is near enough are left
+    out, and what a chunk has brings the bounds down for the next."""
+    A, B, ids = stack_vectors(left["z"]), stack_vectors(right["z"]), right["chunk_idx"].to_numpy()
+    by_id = np.argsort(ids, kind="stable")
+    rank = np.empty(len(ids), np.int64)
+    rank[by_id] = np.arange(len(ids))
+    if bound is None:
+        ii, jj, d2 = _near_pairs(A, B, most, None)
+        ii, jj, d2, kth = _first(len(A), most, ii, rank[jj], d2)
+    else:
+        own, other = stack_vectors(left["pd"]), stack_vectors(right["pd"])
+        ii, jj, d2, kth = np.empty(0, int), np.empty(0, int), np.empty(0), np.array(bound, dtype=np.float64)
+        for at in range(0, len(B), chunk):
+            lo, hi = other[at:at + chunk].min(axis=0), other[at:at + chunk].max(axis=0)
+            gap = np.maximum(lo - own, own - hi).max(axis=1)
+            rows = np.flatnonzero(~(gap > np.sqrt(kth) * (1 + 1e-9) + 1e-9))
+            if not len(rows):
+                continue
+            i, j, d = _near_pairs(A[rows], B[at:at + chunk], most, kth[rows])
+            ii, jj, d2, new = _first(len(A), most, np.append(ii, rows[i]), np.append(jj, rank[at + j]), np.append(d2, d), kth)
+            kth = np.minimum(kth, new)
+    return pd.DataFrame({"i": left["chunk_idx"].to_numpy()[ii], "j": ids[by_id[jj]], "d2": d2, "kth": kth[ii]})
 
 
 def knn_cells(own: DataFrame, points: DataFrame) -> DataFrame:
@@ -144,8 +207,8 @@ def knn_graph(z: DataFrame, k: int = BHAT_K, block: int = DEFAULT_BLOCK) -> Data
     included, k clamped to max(2, min(k, N-1)); ties broken on chunk_idx.
 
     Points lie in ball blocks. The first round takes the neighbours inside the own block and with them a bound, the
-    k-th distance so far; the second visits only blocks that can come nearer than the farthest such bound of
-    a block (triangle inequality over the pivots) and passes on only pairs within each point's own bound. A window over the survivors gives
+    k-th distance so far; the second visits only cells of blocks of which some can come nearer than the farthest such bound of
+    a block (triangle inequality over the pivots) and passes on at most k pairs per point and cell, within the point's own bound. A window over the survivors gives
     the exact ranks; every distance is the same exact formula. -> (pool_id, i, j, rank, d2)."""
     most = max(2, k)  # the clamp below asks for two neighbours at least
     pts = cut_lineage(ball_blocks(z, block))
@@ -161,17 +224,35 @@ def knn_graph(z: DataFrame, k: int = BHAT_K, block: int = DEFAULT_BLOCK) -> Data
     pairs = cut_lineage(knn_cells(own, pts))
     rows = own.select("pool_id", "i", "j", "d2")
     if pairs.limit(1).count():
-        keys, body = ["pool_id", "b", "other"], pts.select("pool_id", "b", "chunk_idx", "z")
+        # blocks meet in cells of several, which one shuffle carries: a cell has at most about KNN_CELL points of each side
+        last = Window.partitionBy("pool_id")
+        size = F.greatest(F.lit(block), F.least(F.lit(max(block, KNN_CELL)), F.ceil(F.sum("m").over(last) / 8)))
+        parts = pts.groupBy("pool_id", "b").agg(F.count(F.lit(1)).alias("m")).withColumn(
+            "cell", F.floor((F.sum("m").over(last.orderBy("b")) - F.col("m")) / size).cast("int"))
+        parts = cut_lineage(parts.select("pool_id", "b", "cell"))
+        meet = cut_lineage(pairs.join(parts.withColumnRenamed("cell", "ci"), ["pool_id", "b"]).join(
+            parts.select("pool_id", F.col("b").alias("other"), F.col("cell").alias("cj")), ["pool_id", "other"]).select("pool_id", "ci", "cj").distinct())
+        body = pts.select("pool_id", "b", "chunk_idx", "z", "pd").join(parts, ["pool_id", "b"])
         bounds = own.groupBy("pool_id", F.col("i").alias("chunk_idx")).agg(F.max("kth").alias("kth"))
-        left = body.join(bounds, ["pool_id", "chunk_idx"]).join(pairs, ["pool_id", "b"])
-        right = body.withColumnRenamed("b", "other").join(pairs, ["pool_id", "other"])
+        left = body.join(bounds, ["pool_id", "chunk_idx"]).withColumnRenamed("cell", "ci").join(meet, ["pool_id", "ci"])
+        right = body.withColumnRenamed("cell", "cj").join(meet, ["pool_id", "cj"])
         right = right.select(*[F.col(c).alias(c) for c in right.columns])  # own lineage: both sides descend from `pts`
+        spread = [max(1, min(10_000, meet.count())), "pool_id", "ci", "cj"]  # a number, which AQE keeps
 
         def across(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            out = _k_nearest(a, b, most, a["kth"].to_numpy(float)) if len(a) and len(b) else pd.DataFrame({c: pd.Series(dtype=object) for c in ("i", "j", "d2", "kth")})
+            out = [pd.DataFrame({c: pd.Series(dtype=object) for c in ("i", "j", "d2")})]
+            if len(a) and len(b):
+                b = b.sort_values("b")
+                for name, g in (a.groupby("b", sort=False) if key[1] == key[2] else [(None, a)]):
+                    others = b if name is None else b[b["b"] != name]  # a block has met itself
+                    if len(others):
+                        out.append(_k_nearest(g, others, most, g["kth"].to_numpy(float)))
+            out = pd.concat(out[1:] or out)
             out.insert(0, "pool_id", key[0])
             return out[["pool_id", "i", "j", "d2"]]
-        rows = rows.union(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(across, f"pool_id {pool}, i {chunk}, j {chunk}, d2 double"))
+        keys = ["pool_id", "ci", "cj"]
+        rows = rows.union(left.repartition(*spread).groupBy(*keys).cogroup(right.repartition(*spread).groupBy(*keys)).applyInPandas(
+            across, f"pool_id {pool}, i {chunk}, j {chunk}, d2 double"))
     sizes = pool_counts(pts, "n").select(
         "pool_id", F.greatest(F.lit(2), F.least(F.lit(k), F.col("n") - 1)).alias("k_eff"))
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("pool_id", "i").orderBy("d2", "j")))

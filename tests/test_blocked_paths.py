@@ -225,3 +225,33 @@ def test_knn_skips_blocks_that_cannot_hold_a_neighbour(spark):
     n = pts.select("b").distinct().count()
     own = pts.select("pool_id", "b", F.lit(2.0).alias("kth"))  # no 7th neighbour lies farther than sqrt(2)
     assert n > 7 and M.knn_cells(own, pts).count() < n * (n - 1) / 2
+
+
+def test_knn_kernel_screens_in_single_precision_and_keeps_k_of_many_ties():
+    import pandas as pd
+    rng = np.random.default_rng(5)
+    A = 100 + rng.normal(size=(300, 9)) * 1e-3            # far from the origin: single precision alone would rank them wrongly
+    A[100:200] = A[7]                                      # copies: ties go to the smaller ids
+    A[250] = np.nan
+    for P in (A[:250], A):
+        g = pd.DataFrame({"chunk_idx": np.arange(len(P))[::-1], "z": list(P), "pd": list(np.sqrt(M.sq_dists(P, P[:2])))})
+        d2 = M.sq_dists(P, P)
+        got = M._k_nearest(g, g, 6)
+        want = {(len(P) - 1 - i, len(P) - 1 - j) for i in range(len(P)) if not np.isnan(P[i]).any()
+                for j in np.lexsort((np.arange(len(P))[::-1], d2[i]))[:6]}
+        assert len(got) == len(want) and set(zip(got["i"], got["j"])) == want
+        bound = np.nan_to_num(np.sort(d2, axis=1)[:, 20])
+        assert set(zip(*(M._k_nearest(g, g, 6, bound, 64)[c] for c in "ij"))) == want
+
+
+def test_knn_cells_of_several_blocks(spark, monkeypatch):
+    """Cells of one block and of several give the rows of one block."""
+    rng = np.random.default_rng(8)
+    Z = rng.normal(size=(400, 5))
+    Z[50:90] = Z[3]
+    z = spark.createDataFrame([(0, i, [float(v) for v in x]) for i, x in enumerate(Z)], "pool_id long, chunk_idx long, z array<double>")
+    rows = lambda: sorted((r.i, r.j, r["rank"], r.d2) for r in M.knn_graph(z, 7, block=40).collect())
+    want = sorted((r.i, r.j, r["rank"], r.d2) for r in M.knn_graph(z, 7).collect())
+    assert rows() == want
+    monkeypatch.setattr(M, "KNN_CELL", 40)
+    assert rows() == want
