@@ -17,25 +17,23 @@ def text_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fit(spark, sf_dir):
-    """Corpus, its term counts (materialised once: read by fit and transform) and vocabulary."""
+    """Corpus, its term lists (materialised once: read by fit and transform) and vocabulary."""
     from dualspace.session import cut_lineage
     corpus = cut_lineage(text_corpus(spark, sf_dir))   # read by counts, the document count and transform
-    tc = cut_lineage(tfidf.term_counts(corpus))
-    return corpus, tc, tfidf.fit_tfidf(corpus, 256, counts=tc)
+    tl = cut_lineage(tfidf.term_lists(corpus))
+    return corpus, tl, cut_lineage(tfidf.fit_tfidf(corpus, 256, lists=tl))   # the vocabulary is read for the documents and for the items
 
 
 def q_tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus, tc, vocab = _fit(spark, sf_dir)
-    return rounded(tfidf.transform_tfidf(corpus, vocab, counts=tc), "w")
+    corpus, tl, vocab = _fit(spark, sf_dir)
+    return rounded(tfidf.transform_tfidf(corpus, vocab, lists=tl), "w")
 
 
 def _retrieval(spark, sf_dir, k=5):
-    from dualspace.session import cut_lineage
-    corpus, tc, vocab = _fit(spark, sf_dir)
-    vocab = cut_lineage(vocab)   # read for the documents and for the items
+    corpus, tl, vocab = _fit(spark, sf_dir)
     items = read_table(spark, sf_dir, "benchmark", ["item_id", "text"])
-    dv = tfidf.transform_tfidf(corpus, vocab, counts=tc)
-    qv = tfidf.transform_tfidf(items, vocab, key="item_id")
+    dv = tfidf.sparse_tfidf(corpus, vocab, lists=tl)
+    qv = tfidf.sparse_tfidf(items, vocab, key="item_id")
     top = tfidf.sparse_cosine_topk(qv, dv, k, "item_id", "doc_id")
     return top, items, corpus
 
@@ -71,7 +69,8 @@ def q_lsa_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E4/E5 rows-only check: one unit-length (or zero) vector per corpus text."""
     from dualspace.functions import vectors as V
     from dualspace.operators.tfidf import LsaEmbedder
-    corpus = text_corpus(spark, sf_dir)
+    from dualspace.session import cut_lineage
+    corpus = cut_lineage(text_corpus(spark, sf_dir))   # read by the fit and by the embedding
     emb = LsaEmbedder(corpus, 64)
     v = emb.embed(corpus)
     return rounded(v.select("doc_id", F.size("vec").alias("dim"), V.norm(V.as_double_vector("vec")).alias("norm")),
