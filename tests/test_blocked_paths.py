@@ -255,3 +255,33 @@ def test_knn_cells_of_several_blocks(spark, monkeypatch):
     assert rows() == want
     monkeypatch.setattr(M, "KNN_CELL", 40)
     assert rows() == want
+
+
+def test_cells_of_a_large_pool_are_few_and_hold_bitmaps(spark, monkeypatch):
+    """Blocks grow with the pool, so cells do not; a cell holds a bit per pair, no points."""
+    c, q = _one_pool(chunk_vectors(spark, SF_SMALL)), _one_pool(query_vectors(spark, SF_SMALL))
+    z, lam = z_standin(c, 4)
+    space = M.build_space("mahalanobis", z, lam, 4)
+    eps, seen, write = cut_lineage(M.calibrate_epsilon(space)), [], decay.bucketed_table
+
+    def kept(df, keys, name):
+        table = write(df, keys, name)
+        rows = spark.table(table)
+        seen.append((rows.columns, rows.count(), rows.agg(F.max(F.length("near"))).first()[0] if "near" in rows.columns else None))
+        return table
+    monkeypatch.setattr(decay, "bucketed_table", kept)
+    decay.decay_traversal(c, q, space, eps, 0.85, 1.1, 2, block=4, query_block=1).count()
+    (columns, cells, widest), = seen
+    assert "flat_j" not in columns and "near" in columns and cells <= 32 ** 2 and widest <= 60 * 8
+
+
+def test_nearness_by_products_and_united_rows():
+    rng = np.random.default_rng(4)
+    A = rng.integers(0, 4, (80, 6)).astype(float) + 1e6   # many distances equal epsilon exactly
+    B = np.vstack([rng.integers(0, 4, (70, 6)) + 1e6, np.full((1, 6), np.nan)])
+    for eps in (2.0, 3.0, 0.0):
+        assert (decay._within(A, B, eps, 500) == (np.sqrt(M.sq_dists(A, B)) <= eps)).all()
+    near, frontier = rng.random((80, 21)) < 0.02, rng.random((9, 80)) < 0.3
+    frontier[4] = False
+    got = decay._united_rows(frontier, np.packbits(near, axis=1), 7)
+    assert (np.unpackbits(got, axis=1, count=21) == (frontier.astype(int) @ near > 0)).all()
