@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dualspace.session import checkpoint_dir
+from dualspace.session import checkpoint_dir, shuffles_freed
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -19,7 +19,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a table in the shared folder: lineage ends there, so a lost
     executor costs a re-read and never a recomputation."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with shuffles_freed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

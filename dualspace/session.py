@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -61,13 +62,28 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession):
+    """What is run inside gives its shuffle files back when it ends, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(_FREE_SHUFFLES, None)
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_FREE_SHUFFLES) if before is None else spark.conf.set(_FREE_SHUFFLES, before)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """`df` as a Parquet table in the shared folder: lineage ends there, so a lost executor
     costs a re-read. Unlike `checkpoint()`, which runs its plan twice, this runs it once
     and leaves columns that later plans can prune."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_freed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -76,8 +92,9 @@ def bucketed_table(df: DataFrame, keys: list[str], name: str) -> str:
     on all the keys read it where it lies. Drop the name after use (the files stay with the others there)."""
     spark = df.sparkSession
     n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"dualspace_{name}_{uuid.uuid4().hex}"
-    (df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys)
-     .option("path", f"{checkpoint_dir(spark).rstrip('/')}/{name}").format("parquet").saveAsTable(name))
+    with shuffles_freed(spark):
+        (df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys)
+         .option("path", f"{checkpoint_dir(spark).rstrip('/')}/{name}").format("parquet").saveAsTable(name))
     return name
 
 
