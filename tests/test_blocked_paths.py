@@ -285,3 +285,47 @@ def test_nearness_by_products_and_united_rows():
     frontier[4] = False
     got = decay._united_rows(frontier, np.packbits(near, axis=1), 7)
     assert (np.unpackbits(got, axis=1, count=21) == (frontier.astype(int) @ near > 0)).all()
+
+
+def test_a_large_pool_finds_its_cutoff_set_as_bits(spark, monkeypatch):
+    """No row per pair within tau: the scan is asked for the nearest chunks only; the old way where keys repeat."""
+    c, q = _one_pool(chunk_vectors(spark, SF_SMALL)), _one_pool(query_vectors(spark, SF_SMALL))
+    c, q = cut_lineage(c), cut_lineage(q)
+    z, lam = z_standin(c)
+    space = M.build_space("euclidean", z, lam, 64)
+    eps = M.calibrate_epsilon(space, 0.10, 50, 42)
+    bounds, scan = [], search.scan
+
+    def noted(chunks, queries, k, bound, **more):
+        bounds.append(bound)
+        return scan(chunks, queries, k, bound, **more)
+    monkeypatch.setattr(search, "scan", noted)
+    for start in ("anchors", "strict"):
+        hops = lambda qs, **more: _rows(decay.decay_traversal(c, qs, space, eps, 0.85, 1.1, 2, start=start, block=60, query_block=3, **more), "qid", "hop", "chunk_idx")  # noqa: E731, B023
+        want = hops(q, scanned=cut_lineage(scan(c, q, 3, 0.85)))
+        assert want and hops(q) == want and bounds == [None]
+        bounds.clear()
+    twice, null = q.select("qid").union(q.select("qid").limit(1)), q.select("qid").union(spark.createDataFrame([(None,)], "qid long"))
+    assert decay._single(q, "qid") and not decay._single(twice, "qid") and not decay._single(null, "qid")
+
+
+def test_cells_hold_a_strip_of_distances_at_a_time():
+    import tracemalloc
+
+    def peak(fn) -> float:
+        tracemalloc.start()
+        fn()
+        most = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        return most
+    rng = np.random.default_rng(3)
+    A = rng.normal(size=(2048, 8))
+    P, far = (A, None, None), M.block_distance("euclidean", A, A[:4], 0.0)
+    whole = 2048 * 2048 * 8 / 1e6
+    assert peak(lambda: decay.near_matrix("euclidean", 0.0, 2.0, P, P, far, far)) < 1.5 * whole
+    assert peak(lambda: walk._kernel("euclidean", 1.0, 0.0, P, P)) < 2.2 * whole
+    assert peak(lambda: walk._kernel("euclidean", 1.0, 0.0, P, P, sums=True)) < 1.2 * whole
+    K = walk._kernel("euclidean", 1.0, 0.0, P, P)
+    assert np.allclose(K, np.exp(-M.block_distance("euclidean", A, A, 0.0)), rtol=1e-14)
+    assert np.allclose(walk._kernel("euclidean", 1.0, 0.0, P, P, sums=True), K.sum(axis=1), rtol=1e-14)
+    assert peak(lambda: walk._row_normal(K, K.sum(axis=1))) < 0.2 * whole and np.allclose(K.sum(axis=1), 1.0)
